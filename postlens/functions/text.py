@@ -42,7 +42,8 @@ PICTOGRAPH_RANGES = (
     "1F8AE-1F8FF 1F90C-1F93A 1F93C-1F945 1F947-1FAFF 1FC00-1FFFD "
 ).split()
 PICTOGRAPH = (
-    "["
+    # most characters leave at the first test instead of walking through the ranges
+    r"(?![\x{0}-\x{A8}])["
     + "".join(
         "-".join(f"\\x{{{end}}}" for end in part.split("-")) for part in PICTOGRAPH_RANGES
     )
@@ -58,7 +59,10 @@ MAX_SUMMARY_WORDS = 35
 
 def strip_html(text: Column) -> Column:
     """Markup removed for scoring: escapes, tags, the six basic entities, white space."""
-    plain = sub(F.coalesce(text, F.lit("")), *ESCAPED_MARKUP, ("<[^>]*>", " "), *BASIC_ENTITIES)
+    plain = let(
+        sub(F.coalesce(text, F.lit("")), *ESCAPED_MARKUP, ("<[^>]*>", " ")),
+        lambda t: F.when(F.contains(t, F.lit("&")), sub(t, *BASIC_ENTITIES)).otherwise(t),
+    )
     return squeeze(plain)
 
 
@@ -192,9 +196,18 @@ def collapse_repeats(text: Column) -> Column:
             lambda w, i: ~(F.coalesce(F.lower(w) == lowered_left(i), F.lit(False)) & (alnum(w) > 2)),
         )
 
-    out = F.array_join(let(words(squeeze(text)), drop_repeated_words), " ")
+    # copies that are equal to the letter go first, in one scan; words that differ in case
+    # are rare and only then compared one by one, because the first spelling is kept
+    three_alnum = r"(?<![^ ])(?=(?:[^\p{L}\p{N} ]*+[\p{L}\p{N}]){3})([^ ]++) "
+    out = let(
+        F.regexp_replace(squeeze(text), three_alnum + r"(?=\1(?![^ ]))", ""),
+        lambda t: F.when(
+            t.rlike("(?iu)" + three_alnum + r"\1(?![^ ])"),
+            F.array_join(let(words(t), drop_repeated_words), " "),
+        ).otherwise(t),
+    )
     for size in (4, 3, 2):
-        phrase = rf"(?iu)(?<!\S){SHORT_PHRASE[size]}(\S+(?: \S+){{{size - 1}}}) \1(?!\S)"
+        phrase = rf"(?iu)(?<![^ ]){SHORT_PHRASE[size]}([^ ]++{' [^ ]++' * (size - 1)}) \1(?![^ ])"
         out = F.regexp_replace(out, phrase, "$1")
     return out
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.language import dominant_script, refine_latin
+from postlens.functions.language import (
+    MIN_REFINE_LENGTH, dominant_script, mostly_not_latin, settle_latin,
+)
 from postlens.functions.patterns import java, let, utf16_length
 from postlens.functions.text import (
-    TAG_OR_MENTION_ANY_SCRIPT, URL, lower_squeeze, strip_html, strip_language_noise, strip_urls,
+    TAG_OR_MENTION_ANY_SCRIPT, URL, strip_html, strip_language_noise, strip_urls,
 )
 
 PROFILE_SIZE = 300
@@ -16,99 +18,128 @@ MIN_RANKED_LENGTH = 10
 MIN_IDENTIFY_LENGTH = 20
 
 
-def trigrams(text: Column) -> Column:
-    """Character trigrams of the lower-cased letters, one blank around every word."""
-    letters = lower_squeeze(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}]+", " "))
+def letter_words(text: Column) -> Column:
+    """Lower-cased words made of letters and marks."""
+    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")
+    return F.filter(F.split(letters, " "), lambda w: w != "")
+
+
+def word_trigrams(word: Column) -> Column:
+    """Character trigrams of a word with one blank on either side."""
     return let(
-        F.split(F.concat(F.lit(" "), letters, F.lit(" ")), ""),
+        F.split(F.concat(F.lit(" "), word, F.lit(" ")), ""),
         lambda chars: F.transform(
-            F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 2, F.lit(0))),
+            F.slice(chars, F.lit(1), F.size(chars) - 2),
             lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2)),
         ),
     )
 
 
-def _ranked(counts: DataFrame, group: list[str]) -> DataFrame:
-    """Rank 0 for the most frequent trigram of a group, ties by the trigram itself.
+def _profile(words: DataFrame, group: list[str]) -> DataFrame:
+    """``(group, tri, rank)``: the most frequent trigrams, rank 0 first, ties by the trigram.
 
-    The rank limit also runs before the shuffle, so a group never sends more rows per task
-    than the profile holds.
+    Equal words are counted before they are cut into trigrams. The rank limit also runs
+    before any shuffle, so a group never sends more rows per task than a profile holds.
     """
-    window = Window.partitionBy(*group).orderBy(F.desc("n"), F.asc("tri"))
-    ranked = counts.withColumn("rank", F.row_number().over(window))
-    return ranked.filter(F.col("rank") <= PROFILE_SIZE).withColumn("rank", F.col("rank") - 1).drop("n")
-
-
-def _counts(df: DataFrame, text: Column, group: list[str]) -> DataFrame:
-    exploded = df.select(*group, F.explode(trigrams(text)).alias("tri"))
-    return exploded.groupBy(*group, "tri").agg(F.count(F.lit(1)).alias("n"))
+    counted = words.groupBy(*group, "word").agg(F.count(F.lit(1)).alias("_n"))
+    cut = counted.select(*group, "_n", F.explode(word_trigrams(F.col("word"))).alias("tri"))
+    totals = cut.groupBy(*group, "tri").agg(F.sum("_n").alias("_n"))
+    best_first = Window.partitionBy(*group).orderBy(F.desc("_n"), F.asc("tri"))
+    ranked = totals.withColumn("rank", F.row_number().over(best_first))
+    return ranked.filter(F.col("rank") <= PROFILE_SIZE).select(
+        *group, "tri", (F.col("rank") - 1).alias("rank")
+    )
 
 
 def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``(lang, tri, rank)``: the 300 most frequent trigrams of every language."""
-    return _ranked(_counts(labelled, F.col(text), [lang]), [lang]).select(
-        F.col(lang).alias("lang"), "tri", "rank"
-    )
+    words = labelled.select(F.col(lang).alias("lang"), F.explode(letter_words(F.col(text))).alias("word"))
+    return _profile(words, ["lang"])
 
 
-def rank_languages(df: DataFrame, profiles: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """``(key, lang, distance, place)`` for texts of at least ten characters.
+def _distances(words: DataFrame, profiles: DataFrame, group: list[str]) -> DataFrame:
+    """``(group, lang, distance)`` for every language sharing a trigram with the group.
 
-    The out-of-place distance of a text is what all its trigrams would cost when missing,
-    less what the shared ones save; only shared ones need the join. The profile table has
+    The out-of-place distance is what all trigrams of the group would cost when missing,
+    less what the shared ones save; only the shared ones need the join. A profile table has
     300 rows per language, which bounds the broadcast.
     """
-    usable = df.select(*key, text.alias("_text")).filter(utf16_length(F.col("_text")) >= MIN_RANKED_LENGTH)
-    own = _ranked(_counts(usable, F.col("_text"), key), key)
-    model = F.broadcast(profiles.select("lang", "tri", F.col("rank").alias("_model_rank")))
-    saved = F.lit(PROFILE_SIZE) - F.abs(F.col("rank") - F.col("_model_rank"))
-    shared = own.join(model, "tri").groupBy(*key, "lang").agg(F.sum(saved).alias("_saved"))
-    sizes = own.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
-    placed = Window.partitionBy(*key).orderBy("distance", "lang")
-    return (
-        shared.join(sizes, key)
-        .withColumn("distance", F.col("_size") * PROFILE_SIZE - F.col("_saved"))
-        .withColumn("place", F.row_number().over(placed))
-        .select(*key, "lang", "distance", "place")
+    own = _profile(words, group)
+    model = F.broadcast(profiles.select("lang", "tri", F.col("rank").alias("_model")))
+    saved = F.lit(PROFILE_SIZE) - F.abs(F.col("rank") - F.col("_model"))
+    sized = own.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    shared = sized.join(model, "tri").groupBy(*group, "lang", "_size")
+    return shared.agg(F.sum(saved).alias("_saved")).select(
+        *group, "lang", (F.col("_size") * PROFILE_SIZE - F.col("_saved")).alias("distance")
     )
 
 
+def _by_key(df: DataFrame, key: list[str], text: Column) -> DataFrame:
+    """Key and text, placed by key: every later grouping of a text stays where it is."""
+    return df.select(*key, text.alias("_text")).repartition(*key)
+
+
+def rank_languages(df: DataFrame, profiles: DataFrame, key: list[str], text: Column) -> DataFrame:
+    """``(key, lang, distance, place)`` for texts of at least ten characters, nearest first."""
+    usable = _by_key(df, key, text).filter(utf16_length(F.col("_text")) >= MIN_RANKED_LENGTH)
+    words = usable.select(*key, F.explode(letter_words(F.col("_text"))).alias("word"))
+    nearest = Window.partitionBy(*key).orderBy("distance", "lang")
+    return _distances(words, profiles, key).withColumn("place", F.row_number().over(nearest))
+
+
 def identify(df: DataFrame, profiles: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """``(key, lang)``: the closest language; texts without any shared trigram have no row."""
-    ranked = rank_languages(df, profiles, key, text)
-    return ranked.filter(F.col("place") == 1).select(*key, "lang")
+    """``(key, lang)``: the nearest language; texts without any shared trigram have no row."""
+    usable = _by_key(df, key, text).filter(utf16_length(F.col("_text")) >= MIN_RANKED_LENGTH)
+    words = usable.select(*key, F.explode(letter_words(F.col("_text"))).alias("word"))
+    distances = _distances(words, profiles, key)
+    return distances.groupBy(*key).agg(F.min(F.struct("distance", "lang")).alias("_best")).select(
+        *key, "_best.lang"
+    )
 
 
 def decide_language(
     df: DataFrame, profiles: DataFrame, key: list[str], text: str = "original_text"
 ) -> DataFrame:
-    """Add ``new_language`` and ``identified`` (null when identification was not tried).
+    """``(key, new_language, identified)``; ``identified`` is null when it was not tried.
 
     Script first; else identification on texts of at least 20 characters, settled for Latin
     text by a second identification on the text without noise. Only texts without a
-    dominant script reach the statistics, and only those with links, tags or mentions reach
-    them twice: for the rest both identifications see the same letters.
+    dominant script reach the statistics, and only those with links, tags or mentions count
+    twice: for the rest both identifications see the same letters.
     """
-    plain = F.col("_plain")
-    staged = df.withColumn("_plain", strip_urls(strip_html(F.col(text)))).withColumn(
+    plain, cleaned = F.col("_text"), F.col("_cleaned")
+    placed = _by_key(df, key, strip_urls(strip_html(F.col(text)))).withColumn(
         "_script", dominant_script(plain)
     )
     asked = F.col("_script").isNull() & (utf16_length(plain) >= MIN_IDENTIFY_LENGTH)
-    open_texts = staged.filter(asked).select(*key, "_plain")
-    first = identify(open_texts, profiles, key, plain).withColumnRenamed("lang", "_first")
-    cleaned = strip_language_noise(plain)
     noisy = plain.rlike(java(f"{URL}|{TAG_OR_MENTION_ANY_SCRIPT}"))
-    second = identify(
-        open_texts.filter(noisy & (utf16_length(cleaned) >= MIN_IDENTIFY_LENGTH)),
-        profiles, key, cleaned,
-    ).withColumnRenamed("lang", "_again")
-    joined = staged.join(first, key, "left").join(second, key, "left")
-    opinion = F.when(noisy, F.col("_again")).otherwise(F.col("_first"))
-    settled = F.when(
-        asked & F.col("_first").isNotNull(), refine_latin(plain, F.col("_first"), opinion)
+    facts = (
+        placed.withColumn("_cleaned", F.when(asked, strip_language_noise(plain)))
+        .select(
+            *key, "_script", asked.alias("_asked"), noisy.alias("_noisy"),
+            mostly_not_latin(cleaned).alias("_other"),
+            (utf16_length(cleaned) >= MIN_REFINE_LENGTH).alias("_long"),
+        )
+    )
+    # rows that are not asked explode to nothing: a filter on computed text would be pushed
+    # below the placement and repeat the cleaning there
+    texts = F.array_compact(F.array(plain, F.when(noisy, strip_language_noise(plain))))
+    words = (
+        placed.select(*key, F.posexplode(F.when(asked, texts)).alias("_kind", "_body"))
+        .select(*key, "_kind", F.explode(letter_words(F.col("_body"))).alias("word"))
+    )
+    best = F.min(F.when(F.col("_kind") == 0, F.struct("distance", "lang")))
+    again = F.min(F.when(F.col("_kind") == 1, F.struct("distance", "lang")))
+    found = (
+        _distances(words, profiles, [*key, "_kind"])
+        .groupBy(*key)
+        .agg(best.alias("_best"), again.alias("_again"))
+        .select(*key, F.col("_best.lang").alias("_first"), F.col("_again.lang").alias("_second"))
     )
-    return (
-        joined.withColumn("new_language", F.coalesce("_script", settled))
-        .withColumn("identified", F.when(asked, F.col("_first").isNotNull()))
-        .drop("_plain", "_script", "_first", "_again")
+    opinion = F.when(F.col("_noisy"), F.col("_second")).otherwise(F.col("_first"))
+    settled = settle_latin(F.col("_other"), F.col("_long"), F.col("_first"), opinion)
+    return facts.join(found, key, "left").select(
+        *key,
+        F.coalesce("_script", F.when(F.col("_first").isNotNull(), settled)).alias("new_language"),
+        F.when(F.col("_asked"), F.col("_first").isNotNull()).alias("identified"),
     )

@@ -1,6 +1,6 @@
 """Queries over the given tables; importing this package registers all of them."""
 
-from postlens.plans import feed_queries, text_queries  # noqa: F401
+from postlens.plans import feed_queries, summary_queries, text_queries  # noqa: F401
 from postlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -208,11 +208,12 @@ def _(spark, d):
 
 
 def sql_trigram_counts(source: str, group: str, expr: str) -> str:
-    # empty texts become two blanks, which hold no trigram
-    letters = sql_squeeze(f"lower({rep(expr, r'[^\p{L}\p{M}]+', ' ')})")
-    return f"""(SELECT {group}, tri, count(*) AS n FROM (
-   SELECT {group}, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS tri
-   FROM (SELECT {group}, ' ' || {letters} || ' ' AS t FROM {source})) GROUP BY ALL)"""
+    letters = rep(f"lower({expr})", r"[^\p{L}\p{M}]+", " ")
+    return f"""(SELECT {group}, tri, sum(n) AS n FROM (
+   SELECT {group}, n, unnest(list_transform(range(1, length(w) + 1),
+     lambda i: substr(' ' || w || ' ', i, 3))) AS tri
+   FROM (SELECT {group}, w, count(*) AS n FROM (
+     SELECT {group}, unnest(string_split({letters}, ' ')) AS w FROM {source}) WHERE w <> '' GROUP BY ALL)) GROUP BY ALL)"""
 
 
 def sql_ranked(counts: str, group: str) -> str:
