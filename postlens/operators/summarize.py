@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions import summary as S
-from postlens.functions.patterns import let, squeeze
+from postlens.functions.patterns import java, let, squeeze
 from postlens.functions.text import (
     MAX_SUMMARY_WORDS, capitalize, clean_platform_noise, end_sentence, limit_words, word_count,
     words,
@@ -16,10 +18,15 @@ SCORED = "array<struct<idx:int,sentence:string,tokens:array<string>,words:int,sc
 
 
 def placed(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Key, squeezed text and cleaned text, placed by key: one shuffle for the whole job."""
+    """Key, squeezed text and cleaned text, placed by key: one shuffle for the whole job.
+
+    The key is the primary key and never null; saying so lets every branch of the job read
+    the same shuffle, because joins on the key then add no filter of their own.
+    """
     full = squeeze(F.col(text))
     return (
-        df.select(*key, full.alias("full"))
+        df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+        .select(*key, full.alias("full"))
         .withColumn("cleaned", clean_platform_noise(F.col("full")))
         .repartition(*key)
     )
@@ -124,27 +131,27 @@ def summarize(
     one a long post falls back to the compressor.
     """
     base = compressed(placed(df, key, text), key)
-    if candidates is None:
-        base = base.withColumn("candidate", F.lit(None).cast("string"))
-    else:
+    full, cleaned, candidate = F.col("full"), F.col("cleaned"), F.col("candidate")
+    if candidates is not None:
         base = base.join(candidates.select(*key, "candidate"), key, "left")
-    full, cleaned = F.col("full"), F.col("cleaned")
+    given = F.lit(None).cast("string") if candidates is None else S.tidy_candidate(candidate)
     staged = base.select(
-        *key, "full", "cleaned", "compressed",
-        F.when(F.col("candidate").isNotNull(), S.tidy_candidate(F.col("candidate"))).alias("candidate"),
+        *key, "full", "cleaned", "compressed", given.alias("candidate"),
         word_count(full).alias("n_words"),
-        S.author_tldr(full).alias("tldr"),
+        # only a text that mentions the marker can hold the author's short version
+        F.when(full.rlike(java(S.TLDR)), S.author_tldr(full)).alias("tldr"),
         S.is_question(full).alias("question"),
         S.is_promotional(cleaned).alias("promotional"),
     )
-    has_candidate = F.coalesce(F.col("candidate"), F.lit("")) != ""
-    checks = [
-        S.degenerate(F.col("candidate")), S.copied_phrase(cleaned, F.col("candidate")),
-        S.verbatim_prefix(cleaned, F.col("candidate")), S.unfaithful(cleaned, F.col("candidate")),
-        (word_count(F.col("candidate")) < S.MIN_SUMMARY_WORDS) & (F.col("n_words") > 18),
-        F.col("question") & ~F.contains(F.col("candidate"), F.lit("?")),
-    ]
-    failed = F.when(has_candidate, F.greatest(*[c.cast("int") for c in checks]) > 0)
+    has_candidate, failed = F.lit(False), F.lit(False)
+    if candidates is not None:
+        has_candidate = F.coalesce(candidate, F.lit("")) != ""
+        failed = (
+            S.degenerate(candidate) | S.copied_phrase(cleaned, candidate)
+            | S.verbatim_prefix(cleaned, candidate) | S.unfaithful(cleaned, candidate)
+            | ((word_count(candidate) < S.MIN_SUMMARY_WORDS) & (F.col("n_words") > 18))
+            | (F.col("question") & ~F.contains(candidate, F.lit("?")))
+        )
     method = (
         F.when(full == "", "none")
         .when(F.col("tldr").isNotNull(), "author_tldr")
