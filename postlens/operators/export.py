@@ -14,7 +14,7 @@ EXPORT_FIELDS = [
     "platform", "post_id", "creator_name", "creator_handle", "original_text", "post_url",
     "published_at", "language", "region", "category", "sentiment", "total_engagement", "summary",
 ]
-REPORT_TITLE = "Passport Social Intelligence"
+REPORT_TITLE = "Posts report"
 
 
 def exportable(df: DataFrame, options: FeedOptions = FeedOptions()) -> DataFrame:
@@ -72,12 +72,14 @@ def report_block(seq: Column) -> Column:
     )
 
 
-def export_report(df: DataFrame, options: FeedOptions = FeedOptions()) -> DataFrame:
+def export_report(
+    df: DataFrame, options: FeedOptions = FeedOptions(), title: str = REPORT_TITLE
+) -> DataFrame:
     """``(seq, block)`` rows: a header with title and count, then one block per post."""
     rows = numbered(exportable(df, options), export_order(options.sort, options.order))
     blocks = rows.select("seq", report_block(F.col("seq")).alias("block"))
     header = blocks.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(0).cast("bigint").alias("seq"),
-        F.concat(F.lit(f"{REPORT_TITLE}\nPosts exported: "), F.col("n").cast("string")).alias("block"),
+        F.concat(F.lit(f"{title}\nPosts exported: "), F.col("n").cast("string")).alias("block"),
     )
     return header.unionByName(blocks).orderBy("seq")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +77,12 @@ def _distances(words: DataFrame, profiles: DataFrame, group: list[str]) -> DataF
 
 
 def _by_key(df: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """Key and text, placed by key: every later grouping of a text stays where it is."""
-    return df.select(*key, text.alias("_text")).repartition(*key)
+    """Key and text, placed by key: every later grouping of a text stays where it is.
+
+    Saying that the key is never null lets all branches of a job share this shuffle.
+    """
+    present_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    return df.filter(present_key).select(*key, text.alias("_text")).repartition(*key)
 
 
 def rank_languages(df: DataFrame, profiles: DataFrame, key: list[str], text: Column) -> DataFrame:

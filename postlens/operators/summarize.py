@@ -17,23 +17,23 @@ from postlens.functions.text import (
 SCORED = "array<struct<idx:int,sentence:string,tokens:array<string>,words:int,score:double>>"
 
 
-def placed(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Key, squeezed text and cleaned text, placed by key: one shuffle for the whole job.
+def _keyed(df: DataFrame, key: list[str], text: Column) -> DataFrame:
+    """Key and a text, placed by key.
 
     The key is the primary key and never null; saying so lets every branch of the job read
     the same shuffle, because joins on the key then add no filter of their own.
     """
-    full = squeeze(F.col(text))
-    return (
-        df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
-        .select(*key, full.alias("full"))
-        .withColumn("cleaned", clean_platform_noise(F.col("full")))
-        .repartition(*key)
-    )
+    present_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
+    return df.filter(present_key).select(*key, text).repartition(*key)
+
+
+def placed(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Key and cleaned text: cleaned once, shuffled once, read by all steps below."""
+    return _keyed(df, key, clean_platform_noise(F.col(text)).alias("cleaned"))
 
 
 def score_sentences(base: DataFrame, key: list[str]) -> DataFrame:
-    """``(key, scored)``: every sentence with its tokens, words and score.
+    """``(key, cleaned, scored)``: every sentence with its tokens, words and score.
 
     Token counts of a post come from grouping its exploded tokens; the rows stay in the
     partition of their key, so nothing but the placement is shuffled.
@@ -50,7 +50,7 @@ def score_sentences(base: DataFrame, key: list[str]) -> DataFrame:
     counted = repeated.groupBy(*key).agg(
         F.map_from_entries(F.collect_list(F.struct("idx", "repeated"))).alias("repeated")
     )
-    parts = base.select(*key, S.split_sentences(F.col("cleaned")).alias("parts"))
+    parts = base.select(*key, "cleaned", S.split_sentences(F.col("cleaned")).alias("parts"))
     joined = parts.join(counted, key, "left").withColumn(
         "repeated", F.coalesce("repeated", F.create_map().cast("map<int,bigint>"))
     )
@@ -66,7 +66,7 @@ def score_sentences(base: DataFrame, key: list[str]) -> DataFrame:
     scored = F.transform(
         F.col("parts"), lambda s, i: let(S.content_tokens(s), lambda t: entry(s, i, t))
     )
-    return joined.select(*key, scored.cast(SCORED).alias("scored"))
+    return joined.select(*key, "cleaned", scored.cast(SCORED).alias("scored"))
 
 
 def core_sentences(
@@ -78,10 +78,9 @@ def core_sentences(
 
 
 def compressed(base: DataFrame, key: list[str]) -> DataFrame:
-    """``(key, compressed, condensed)``: the compressor's text and a model's shortened input."""
-    scored = score_sentences(base, key)
+    """``(key, cleaned, compressed, condensed)``: compressor's text, model's shortened input."""
     wide = F.length("cleaned") > S.MODEL_INPUT_CHARS
-    chosen = base.join(scored, key, "left").withColumn(
+    chosen = score_sentences(base, key).withColumn(
         "core", S.pick_sentences(F.col("scored"), S.TARGET_WORDS, 2)
     )
     condensed = F.when(
@@ -90,7 +89,7 @@ def compressed(base: DataFrame, key: list[str]) -> DataFrame:
     enough = F.coalesce(F.length(condensed) >= 40, F.lit(False))
     source = F.when(enough, condensed).otherwise(F.col("cleaned"))
     return chosen.select(
-        *key, "full", "cleaned",
+        *key, "cleaned",
         S.compress(F.col("cleaned"), F.col("core"), S.is_promotional(F.col("cleaned"))).alias("compressed"),
         F.substring(source, 1, S.MODEL_INPUT_CHARS).alias("condensed"),
     )
@@ -130,7 +129,8 @@ def summarize(
     ``candidates(key, candidate)`` are texts any model made from ``model_input``; without
     one a long post falls back to the compressor.
     """
-    base = compressed(placed(df, key, text), key)
+    texts = _keyed(df, key, squeeze(F.col(text)).alias("full"))
+    base = texts.join(compressed(placed(df, key, text), key), key)
     full, cleaned, candidate = F.col("full"), F.col("cleaned"), F.col("candidate")
     if candidates is not None:
         base = base.join(candidates.select(*key, "candidate"), key, "left")

@@ -410,7 +410,7 @@ def _(spark, d):
 
 @query("k4_export_report", f"""WITH r AS (SELECT *, {CATEGORY} AS cat, {ENGAGEMENT} AS eng,
    row_number() OVER (ORDER BY {_EPOCH} DESC, {_TIE}) AS seq FROM posts WHERE {VISIBLE})
- SELECT 0 AS seq, 'Passport Social Intelligence' || chr(10) || 'Posts exported: ' || count(*) AS block FROM r
+ SELECT 0 AS seq, 'Posts report' || chr(10) || 'Posts exported: ' || count(*) AS block FROM r
  UNION ALL SELECT seq, concat_ws(chr(10), seq || '. ' || platform,
    'Creator: ' || coalesce(creator_name, 'Unknown'), 'Category: ' || nullif(cat, ''),
    'Sentiment: ' || sentiment, 'Engagement: ' || eng, coalesce(nullif(original_text, ''), 'No content'),
