@@ -12,9 +12,9 @@ from postlens.functions.posts import (
 from postlens.operators import export, feed, stats, upsert
 from postlens.operators.clusters import cluster_input
 from postlens.operators.feed import FeedOptions
-from postlens.plans.fixture import AS_OF, posts, posts_flat
+from postlens.plans.fixture import AS_OF, posts
 from postlens.plans.registry import query
-from postlens.schema import POST_COLUMNS, scan_platforms, scan_posts
+from postlens.schema import scan_platforms, scan_posts
 
 VISIBLE = "is_relevant AND NOT is_gibberish"
 ENGAGEMENT = """CASE platform WHEN 'youtube' THEN views + likes + comments

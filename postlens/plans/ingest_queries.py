@@ -13,7 +13,7 @@ from postlens.operators.enrich import enrich
 from postlens.plans.fixture import AS_OF, posts, posts_flat, read
 from postlens.plans.registry import query
 from postlens.plans.text_queries import WS, _iso3, q
-from postlens.schema import FEED_ITEM, MICROBLOG_POST, VIDEO_ITEM, VIDEO_STATS, as_schema
+from postlens.schema import MICROBLOG_POST, as_schema
 from postlens.session import shared_dir
 from postlens.sources import landing, payloads
 from postlens.streaming import ingest

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import rules
 from postlens.functions import summary as S
-from postlens.functions.patterns import squeeze
+from postlens.functions.patterns import re2, squeeze
 from postlens.operators import summarize
 from postlens.plans.fixture import posts, read
 from postlens.plans.registry import query
@@ -50,7 +50,13 @@ def _(spark, d):
     )
 
 
-@query("m4_post_types")
+_HIT = lambda pattern: f"regexp_matches(t, {q(re2(pattern))})"
+_CUES = " + ".join(f"CASE WHEN {_HIT(p)} THEN {n} ELSE 0 END" for p, n in S.PROMOTION_CUES)
+
+
+@query("m4_post_types", f"""WITH s AS (SELECT id, original_text AS o, {sql_squeeze('original_text')} AS t FROM posts)
+ SELECT id, contains(t, '?') OR {_HIT(S.QUESTION_START)} AS question, {_CUES} >= 3 AS promotional,
+ {_HIT(S.COMPLAINT).replace("(t,", "(o,")} AS complaint, {_HIT(S.FIRST_PERSON).replace("(t,", "(o,")} AS first_person FROM s""")
 def _(spark, d):
     text = F.col("original_text")
     return posts(spark, d).select(

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from postlens.functions import summary as S
 from postlens.operators import summarize
 

@@ -1,7 +1,5 @@
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from postlens.operators import translate as T
 
