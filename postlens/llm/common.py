@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,11 +85,11 @@ def only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
+def arrow_schema(ddl) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(ddl))
+    return to_arrow_schema(ddl if isinstance(ddl, StructType) else _parse_datatype_string(ddl))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     arrays made from a run stay small. A row is never cut."""
     for batch in batches:
         start, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).to_pylist()
         for i, n in enumerate(lengths):
             if size and size + (n or 0) > most:
                 yield batch.slice(start, i - start)

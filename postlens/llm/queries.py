@@ -2,26 +2,72 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from postlens.llm.common import documents
 from postlens.llm.exact_dedup import exact_dedup
+from postlens.llm.language_id import predictions
+from postlens.llm.packing import pack
+from postlens.llm.pii import personal_data
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let the Python workers of this session find the package where the driver found it."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
+def register(fn: Query) -> Query:
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
+
+
+@register
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
+@register
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions(documents(spark, sf_dir))
+
+
+@register
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
+@register
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_exact_dedup": op10_exact_dedup,
-}
-
 ORACLES: dict[str, str] = {
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
