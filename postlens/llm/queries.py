@@ -48,7 +48,9 @@ def register(fn: Query) -> Query:
 
 @register
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+    return pack(
+        documents(spark, sf_dir), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"), with_ids=False
+    )
 
 
 @register
