@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postlens.llm.common import documents
 from postlens.llm.exact_dedup import exact_dedup
+from postlens.llm.jaccard_join import near_duplicates
 from postlens.llm.language_id import predictions
 from postlens.llm.packing import pack
 from postlens.llm.pii import personal_data
+from postlens.llm.substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +55,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 @register
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(documents(spark, sf_dir))
@@ -63,6 +70,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+@register
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir)).drop("text_key")
+
+
 @register
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(
