@@ -173,8 +173,9 @@ def repeated_windows(docs: DataFrame, cells: list[np.ndarray], window: int, gram
             later = np.zeros(len(at), bool)
             later[order] = doc[order] > least
             rows = [(int(d % buckets), d, k, p, None, None, None, None) for d, k, p in _by_document(doc[later], key[later], pos[later])]
-            h1, h2, doc, key, pos = (x[~later] for x in (h1, h2, doc, key, pos))
-            bucket = (h1 % np.uint64(buckets)).astype(np.int64)
+            # Equal windows have equal anchors, and neighbours mostly the same one.
+            bucket = (mix(anchor[at]) % np.uint64(buckets)).astype(np.int64)
+            h1, h2, doc, key, pos, bucket = (x[~later] for x in (h1, h2, doc, key, pos, bucket))
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cut)):
