@@ -82,8 +82,9 @@ def _set_rows(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _shared_shingles(docs: DataFrame, width: int) -> DataFrame:
-    """set_key, n, ids, counts: the shingles of a set that other sets hold too, with their
-    numbers of sets. One row per set and bucket of shingles."""
+    """The shingles that several sets hold, numbered, with their numbers of sets: arrays of
+    sets, their sizes, shingle ids and counts, one row per bucket of shingles and bucket of
+    sets."""
     buckets = shuffle_partitions(docs.sparkSession)
     schema = "bucket int, sets binary, sizes binary, runs binary, shingles binary"
     out = arrow_schema(schema)
@@ -111,8 +112,7 @@ def _shared_shingles(docs: DataFrame, width: int) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        read = lambda c, kind: np.concatenate([unplanes(x, kind) for x in table.column(c).to_pylist()])
-        keys, sizes, runs = read("sets", np.int64), read("sizes", np.int32), read("runs", np.int32)
+        keys, sizes, runs = _read(table, "sets", np.int64), _read(table, "sizes", np.int32), _read(table, "runs", np.int32)
         low = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint8).reshape(-1, 6)
         tokens = np.zeros((len(low), 8), np.uint8)
         tokens[:, :6] = low
@@ -134,18 +134,23 @@ def _shared_shingles(docs: DataFrame, width: int) -> DataFrame:
         more = held[number] > 1
         key, size, number = key[more], size[more], number[more]
         ids, held = number * buckets + bucket, held[number].astype(np.int32)
-        order = np.lexsort((ids, key))
-        key, size, ids, held = key[order], size[order], ids[order], held[order]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(key))
-        return pa.table({
-            "set_key": pa.array(key[starts]), "n": pa.array(size[starts]),
-            "ids": pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-            "counts": pa.array([held[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-        })
-
+        back = key % buckets
+        order = np.lexsort((key, back))
+        key, size, ids, held, back = (x[order] for x in (key, size, ids, held, back))
+        cut = np.searchsorted(back, np.arange(buckets + 1))
+        rows = [
+            (int(k), *(planes(x[cut[k] : cut[k + 1]]) for x in (key, size, ids, held))) for k in np.flatnonzero(np.diff(cut))
+        ]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), back_out)] if rows else back_out.empty_table().columns, schema=back_out)
+
+    back_schema = "back int, sets binary, sizes binary, ids binary, counts binary"
+    back_out = arrow_schema(back_schema)
     dealt = docs.select("text").mapInArrow(deal, schema)
-    return dealt.groupBy("bucket").applyInArrow(count, "set_key bigint, n int, ids binary, counts binary")
+    return dealt.groupBy("bucket").applyInArrow(count, back_schema)
+
+
+def _read(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.concatenate([unplanes(x, kind) for x in table.column(column).to_pylist()])
 
 
 def _prefix(n: int, least: tuple[int, int]) -> int:
@@ -158,25 +163,25 @@ def _ordered_sets(shared: DataFrame, least: tuple[int, int]) -> DataFrame:
     schema = "set_key bigint, n int, ids binary"
     out = arrow_schema(schema)
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in batches:
-            rows = []
-            for key, n, parts in zip(*(run.column(c).to_pylist() for c in ("set_key", "n", "parts"))):
-                ids = np.frombuffer(b"".join(p["ids"] for p in parts), np.int64)
-                if n - len(ids) >= _prefix(n, least):
-                    continue
-                held = np.frombuffer(b"".join(p["counts"] for p in parts), np.int32)
-                rows.append((key, n, ids[np.lexsort((ids, held))].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+    def order(table: pa.Table) -> pa.Table:
+        key, n = _read(table, "sets", np.int64), _read(table, "sizes", np.int32)
+        ids, held = _read(table, "ids", np.int64), _read(table, "counts", np.int32)
+        by = np.lexsort((ids, held, key))
+        key, n, ids = key[by], n[by], ids[by]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(starts[1:], len(key))
+        may = [(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if n[a] - (b - a) < _prefix(int(n[a]), least)]
+        first = np.array([a for a, _ in may], np.int64)
+        return pa.table(
+            [pa.array(key[first]), pa.array(n[first]), pa.array([ids[a:b].tobytes() for a, b in may], pa.binary())], schema=out
+        )
 
-    grouped = shared.groupBy("set_key", "n").agg(F.collect_list(F.struct("ids", "counts")).alias("parts"))
-    return grouped.mapInArrow(order, schema)
+    return shared.groupBy("back").applyInArrow(order, schema)
 
 
 def _index(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """id, set_key, n, pos: the index entries."""
-    schema = "id bigint, set_key bigint, n int, pos int"
+    """id, set_key, n, pos, lone: the index entries; ``lone`` shingles are the set's own."""
+    schema = "id bigint, set_key bigint, n int, pos int, lone int"
     out = arrow_schema(schema)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +191,7 @@ def _index(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
                 ids = np.frombuffer(ids, np.int64)
                 own = n - len(ids)
                 ids = ids[: _prefix(n, least) - own]
-                parts.append((ids, np.full(len(ids), key), np.full(len(ids), n, np.int32), np.arange(own, own + len(ids), dtype=np.int32)))
+                parts.append((ids, np.full(len(ids), key), np.full(len(ids), n, np.int32), np.arange(own, own + len(ids), dtype=np.int32), np.full(len(ids), own, np.int32)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=out)
 
