@@ -306,9 +306,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, int]
     sets = scratch.table(_ordered_sets(_shared_shingles(read, width), least), "sets")
 
     index = _index(sets, least)
+    # The leader has the fewest shingles of its own, so it is near the middle of its kind.
     heads = scratch.table(
-        index.groupBy("id").agg(F.min("set_key").alias("leader"), F.count(F.lit(1)).alias("held"))
-        .filter("held > 1").drop("held"),
+        index.groupBy("id").agg(F.min(F.struct("lone", "set_key")).alias("first"), F.count(F.lit(1)).alias("held"))
+        .filter("held > 1").select("id", F.col("first.set_key").alias("leader")),
         "heads",
     )
     entries = scratch.table(index.join(heads, "id"), "entries")
