@@ -8,11 +8,16 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postlens.llm.common import documents
+from postlens.llm.chat_format import format_chats
 from postlens.llm.exact_dedup import exact_dedup
+from postlens.llm.fingerprints import fingerprints
 from postlens.llm.jaccard_join import near_duplicates
 from postlens.llm.language_id import predictions
+from postlens.llm.lm_scoring import pseudo_likelihood
+from postlens.llm.mixing import mix, twin
 from postlens.llm.packing import pack
 from postlens.llm.pii import personal_data
 from postlens.llm.substring_dedup import remove_repeats
@@ -55,6 +60,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 @register
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir), with_text=False)
@@ -65,16 +75,31 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(documents(spark, sf_dir))
 
 
+@register
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).withColumn("probability", F.round("probability", 9))
+
+
 @register
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir))
 
 
+@register
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(documents(spark, sf_dir))
+
+
 @register
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).drop("text_key")
 
 
+@register
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @register
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(
@@ -83,6 +108,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES: dict[str, str] = {
+    "op5_mixing": f"""
+        WITH {twin("documents")}
+        SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability, u < probability AS selected FROM drawn""",
     "op10_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,
