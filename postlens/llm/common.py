@@ -92,7 +92,7 @@ def arrow_schema(ddl) -> pa.Schema:
     return to_arrow_schema(ddl if isinstance(ddl, StructType) else _parse_datatype_string(ddl))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows with about ``most`` bytes of text, so that the
     arrays made from a run stay small. A row is never cut."""
     for batch in batches:

@@ -149,7 +149,7 @@ def repeated_windows(docs: DataFrame, cells: list[np.ndarray], window: int, gram
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        for run in slices(batches, most=4 << 20):
+        for run in slices(batches, most=2 << 20):
             words = Words(run.column("text"))
             anchor, owner = _anchors(words, window, gram)
             new = _runs(anchor, owner)
@@ -234,7 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     out = arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in slices(batches, most=4 << 20):
+        for run in slices(batches, most=2 << 20):
             rows = []
             for text, starts in zip(run.column("text").to_pylist(), run.column("pos").to_pylist()):
                 words = text.encode().split()
