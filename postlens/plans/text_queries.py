@@ -300,7 +300,7 @@ _CATEGORY_CASE = "CASE " + " ".join(
 ) + " END"
 
 
-@query("c1_rule_category", f"""WITH s AS (SELECT id, lower(substr({sql_squeeze('original_text')}, 1, 512)) AS t FROM posts),
+@query("c1_rule_category", f"""WITH s AS (SELECT id, lower({sql_squeeze('original_text')}) AS t FROM posts),
  c AS (SELECT id, t, {_CATEGORY_CASE} AS category FROM s)
  SELECT id, category, CASE WHEN category IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS score,
  CASE WHEN t = '' THEN 'none' WHEN category IS NOT NULL THEN 'domain_rule' END AS method FROM c""")

@@ -43,10 +43,15 @@ def test_category_groups(values):
     assert got == list(cases.values())
 
 
-def test_category_reads_512_characters(values):
-    got = values(labels.rule_category, ["x" * 505 + " tatkal", "x" * 506 + " tatkal", ""])
-    assert [r.category for r in got] == ["Tatkal", None, None]
-    assert [r.method for r in got] == ["domain_rule", None, "none"]
+def test_category_reads_whole_texts(values):
+    got = values(labels.rule_category, ["x" * 506 + " tatkal", "x " * 400 + "tatkal", ""])
+    assert [r.category for r in got] == ["Tatkal", "Tatkal", None]
+    assert [r.method for r in got] == ["domain_rule", "domain_rule", "none"]
+
+
+def test_category_reads_up_to_a_given_length(values):
+    got = values(lambda t: labels.rule_category(t, 512), ["x" * 505 + " tatkal", "x" * 506 + " tatkal"])
+    assert [r.category for r in got] == ["Tatkal", None]
 
 
 def test_regions(values):
