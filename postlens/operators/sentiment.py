@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from postlens.functions.labels import sentiment_label, sentiment_tokens
 from postlens.functions.rules import LEXICON, NEGATORS
 
-MAX_BROADCAST_WORDS = 200_000
-
 
 def default_lexicon(spark) -> DataFrame:
     rows = [(w, s) for s, listed in LEXICON.items() for w in listed.split()]
@@ -21,13 +19,11 @@ def sentiment_by_lexicon(
 ) -> DataFrame:
     """``(key, score, sentiment)`` for every row, words scored by a join.
 
-    For a lexicon too large to be written into an expression (see ``functions.labels``). It
-    is broadcast while it stays under a checked number of words and shuffled beyond that.
+    For a lexicon too large to be written into an expression (see ``functions.labels``). The
+    engine broadcasts it while its size is below the session's threshold.
     Texts are reduced to their matched words before anything is grouped.
     """
     known = lexicon.groupBy("word").agg(F.sum("score").alias("score"))
-    if known.limit(MAX_BROADCAST_WORDS + 1).count() <= MAX_BROADCAST_WORDS:
-        known = F.broadcast(known)
     tokens = df.select(*key, sentiment_tokens(F.col(text)).alias("_tokens"))
     shifted = F.concat(F.array(F.lit("")), F.col("_tokens"))
     pairs = tokens.select(*key, F.explode_outer(F.arrays_zip(F.col("_tokens").alias("word"), shifted.alias("prev"))).alias("p"))

@@ -37,7 +37,6 @@ CHUNK_BYTES = 450
 # ---------------------------------------------------------------------------------------
 
 MAX_CODES = 10_000
-MAX_PHRASES = 1_000_000
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -296,12 +295,10 @@ def translate(planned: DataFrame, key: list[str], translator: Translator) -> Dat
 def translate_by_table(df: DataFrame, phrases: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``(key, translated)``: word by word through ``phrases(source, target, word, said)``.
 
-    Expects ``source`` and ``target`` per row; unknown words stay. The phrase table is
-    broadcast while it is small, and joined by a shuffle beyond that.
+    Expects ``source`` and ``target`` per row; unknown words stay. The engine broadcasts the
+    phrase table while its size is below the session's threshold.
     """
     known = phrases.groupBy("source", "target", "word").agg(F.min("said").alias("said"))
-    if known.limit(MAX_PHRASES + 1).count() <= MAX_PHRASES:
-        known = F.broadcast(known)
     placed = df.repartition(*key)
     spoken = placed.select(*key, "source", "target", F.posexplode(F.split(F.col(text), f"{WS}+")).alias("i", "word"))
     said = spoken.join(known, ["source", "target", "word"], "left").select(
