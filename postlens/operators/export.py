@@ -29,10 +29,9 @@ def export_table(df: DataFrame, options: FeedOptions = FeedOptions()) -> DataFra
     return ordered.withColumn("category", category_name(F.col("category"))).select(*EXPORT_FIELDS)
 
 
-def export_csv(df: DataFrame, path: str, options: FeedOptions = FeedOptions(), one_file: bool = False) -> None:
+def export_csv(df: DataFrame, path: str, options: FeedOptions = FeedOptions()) -> None:
     """Write the export as CSV. The part files are ranges of the order, read them by name."""
-    out = export_table(df, options)
-    (out.coalesce(1) if one_file else out).write.mode("overwrite").csv(
+    export_table(df, options).write.mode("overwrite").csv(
         path, header=True, quoteAll=True, escape='"', emptyValue="", nullValue=None
     )
 

@@ -78,7 +78,11 @@ def core_sentences(
 
 
 def compressed(base: DataFrame, key: list[str]) -> DataFrame:
-    """``(key, cleaned, compressed, condensed)``: compressor's text, model's shortened input."""
+    """``(key, cleaned, compressed, condensed)``: compressor's text, model's shortened input.
+
+    The input of a long text is its chosen sentences; where they yield too little it is the
+    whole cleaned text, never a prefix of it.
+    """
     wide = F.length("cleaned") > S.MODEL_INPUT_CHARS
     chosen = score_sentences(base, key).withColumn(
         "core", S.pick_sentences(F.col("scored"), S.TARGET_WORDS, 2)
@@ -91,7 +95,7 @@ def compressed(base: DataFrame, key: list[str]) -> DataFrame:
     return chosen.select(
         *key, "cleaned",
         S.compress(F.col("cleaned"), F.col("core"), S.is_promotional(F.col("cleaned"))).alias("compressed"),
-        F.substring(source, 1, S.MODEL_INPUT_CHARS).alias("condensed"),
+        source.alias("condensed"),
     )
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from postlens.functions.patterns import WS, java, let, present, trim_ws, utf16_length
 
@@ -36,8 +38,6 @@ MAX_CHARS = 512
 CHUNK_BYTES = 450
 # ---------------------------------------------------------------------------------------
 
-MAX_CODES = 10_000
-
 
 def _lookup(table: dict, key: Column) -> Column:
     known = F.create_map(*[F.lit(x) for k, v in table.items() if v is not None for x in (k, v)])
@@ -66,20 +66,23 @@ def raw_source(language: Column) -> Column:
     )
 
 
-def _codes(many_to_english: DataFrame) -> list[str]:
-    """Codes of the many-to-English model: a short table, checked before it is used."""
-    rows = many_to_english.select("code").distinct().limit(MAX_CODES + 1).collect()
-    if len(rows) > MAX_CODES:
-        raise ValueError("the code table of one model cannot have that many languages")
-    return sorted(r[0] for r in rows)
+def _in_codes(df: DataFrame, code: Column, many_to_english: DataFrame, name: str) -> DataFrame:
+    """Add the flag ``name``: the many-to-English model reads ``code``.
+
+    A join with the distinct codes, however many there are; the engine picks its kind.
+    """
+    codes = many_to_english.select(F.col("code").alias("_code")).filter("_code IS NOT NULL").distinct()
+    marked = codes.withColumn(name, F.lit(True))
+    return df.join(marked, code == F.col("_code"), "left").drop("_code").withColumn(
+        name, F.coalesce(name, F.lit(False))
+    )
 
 
 def first_supported(ranked: DataFrame, key: list[str], many_to_english: DataFrame) -> DataFrame:
     """``(key, detected, detected_via_many)``: the best ranked language anything can translate."""
-    codes = _codes(many_to_english)
-    direct = normalize_source(F.col("lang"))
-    usable = ranked.withColumn("_direct", direct).filter(
-        F.col("_direct").isNotNull() | F.col("lang").isin(codes)
+    known = _in_codes(ranked, F.col("lang"), many_to_english, "_many")
+    usable = known.withColumn("_direct", normalize_source(F.col("lang"))).filter(
+        F.col("_direct").isNotNull() | F.col("_many")
     )
     best = F.min_by(F.struct("_direct", "lang"), "place").alias("b")
     return usable.groupBy(*key).agg(best).select(
@@ -93,10 +96,10 @@ def with_source(
     key: list[str] = ["id"],
 ) -> DataFrame:
     """Add ``source_code`` and ``via_many``: stated language, else code, else detection."""
-    codes = _codes(many_to_english)
     direct = normalize_source(F.col("source_language"))
     raw = raw_source(F.col("source_language"))
-    coded = F.when(raw.isin(codes), raw)
+    requests = _in_codes(requests, raw, many_to_english, "_many")
+    coded = F.when(F.col("_many"), raw)
     if detected is None:
         out = requests.withColumn("detected", F.lit(None).cast("string")).withColumn(
             "detected_via_many", F.lit(None).cast("boolean")
@@ -106,7 +109,7 @@ def with_source(
     return out.withColumn("source_code", F.coalesce(direct, coded, F.col("detected"))).withColumn(
         "via_many",
         F.when(direct.isNotNull(), False).when(coded.isNotNull(), True).otherwise(F.col("detected_via_many")),
-    ).drop("detected", "detected_via_many")
+    ).drop("detected", "detected_via_many", "_many")
 
 
 def cached_translation(translations: Column, target: Column) -> Column:
@@ -115,20 +118,25 @@ def cached_translation(translations: Column, target: Column) -> Column:
     return F.when(trim_ws(stored) != "", stored)
 
 
-def truncate(text: Column) -> Column:
-    """``struct<text, truncated_at>``: what a model is given, and the limit if it applied."""
+def truncate(text: Column, max_chars: int = MAX_CHARS) -> Column:
+    """``struct<text, truncated_at>``: the first characters, and the limit if it applied."""
     return F.struct(
-        F.substring(text, 1, MAX_CHARS).alias("text"),
-        F.when(utf16_length(text) > MAX_CHARS, MAX_CHARS).alias("truncated_at"),
+        F.substring(text, 1, max_chars).alias("text"),
+        F.when(utf16_length(text) > max_chars, max_chars).alias("truncated_at"),
     )
 
 
-def translation_plan(requests: DataFrame, mode: str = "local") -> DataFrame:
+def translation_plan(
+    requests: DataFrame, mode: str = "local", max_chars: int | None = None
+) -> DataFrame:
     """Add ``method`` or ``error``, ``truncated_at`` and the codes a translator needs.
 
     Expects ``text, target_language, translations, source_code, via_many``. The order is
-    cache, validity, same language, then the mode's routes.
+    cache, validity, same language, then the mode's routes. Whole texts are translated;
+    ``max_chars`` cuts them (``MAX_CHARS`` is the fixed value) and says so in
+    ``truncated_at``, which is null otherwise.
     """
+    limit = F.lit(None).cast("int") if max_chars is None else truncate(F.col("text"), max_chars)["truncated_at"]
     text, target = F.col("text"), F.lower(trim_ws(F.col("target_language")))
     staged = requests.withColumns(
         {
@@ -136,7 +144,7 @@ def translation_plan(requests: DataFrame, mode: str = "local") -> DataFrame:
             "target_suffix": _lookup({k: v[1] for k, v in TARGETS.items()}, target),
             "target_code": _lookup({k: v[0] for k, v in TARGETS.items()}, target),
             "source_suffix": F.when(~F.col("via_many"), _lookup(MODELS, F.col("source_code"))),
-            "truncated_at": truncate(text)["truncated_at"],
+            "truncated_at": limit,
         }
     )
     src, dst, many = F.col("source_suffix"), F.col("target_suffix"), F.coalesce("via_many", F.lit(False))
@@ -252,7 +260,10 @@ def translate(planned: DataFrame, key: list[str], translator: Translator) -> Dat
     """``(key, translated, method, error, truncated_at)`` for planned requests.
 
     Only rows that need a model reach ``translator(texts, source, target)``; pivot routes
-    call it twice, through English. Remote routes are cut into chunks first.
+    call it twice, through English. Texts beyond what a model reads are cut into pieces at
+    sentence ends (remote routes by bytes), all pieces are translated, and the results are
+    joined by blanks in their order. The pieces of a text stay in its row, so nothing is
+    shuffled.
     """
     needs = F.col("method").rlike("^(local_model|remote)")
     ready = planned.filter(F.coalesce(~needs, F.lit(True))).select(
@@ -261,35 +272,40 @@ def translate(planned: DataFrame, key: list[str], translator: Translator) -> Dat
         .when(F.col("method") == "no_translation_needed", F.col("text")).alias("translated"),
         "method", "error", "truncated_at",
     )
-    given = planned.filter(needs).withColumn("given", truncate(F.col("text"))["text"])
-    parts = F.when(F.col("method") == "remote_mymemory", chunk_text(F.col("given"))).otherwise(F.array("given"))
+    given = planned.filter(needs).withColumn(
+        "given",
+        F.when(F.col("truncated_at").isNull(), F.col("text")).otherwise(
+            F.substring(F.col("text"), F.lit(1), F.col("truncated_at"))
+        ),
+    )
+    parts = (
+        F.when(F.col("method") == "remote_mymemory", chunk_text(F.col("given")))
+        .when(utf16_length(F.col("given")) <= MAX_CHARS, F.array("given"))
+        .otherwise(chunk_text(F.col("given"), MAX_CHARS))
+    )
     source = F.coalesce("remote_source", "source_suffix", "source_code")
     goal = F.coalesce("remote_target", "target_suffix")
     work = given.select(
-        *key, "method", "truncated_at", F.posexplode(parts).alias("part", "chunk"),
+        *key, "method", "error", "truncated_at", parts.alias("parts"),
         source.alias("source"), goal.alias("goal"), F.contains("method", F.lit("pivot")).alias("pivot"),
     )
-    schema = work.schema
+    route = ["source", "goal", "pivot"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (src, dst, pivot), rows in batch.groupby(["source", "goal", "pivot"]).groups.items():
-                texts = batch.loc[rows, "chunk"].tolist()
-                steps = [(src, "en"), ("en", dst)] if pivot else [(src, dst)]
-                for a, b in steps:
+            translated = pd.Series(None, index=batch.index, dtype=object)
+            for (src, dst, pivot), rows in batch.groupby(route).groups.items():
+                pieces = batch.loc[rows, "parts"]
+                texts = [piece for parts in pieces for piece in parts]
+                for a, b in [(src, "en"), ("en", dst)] if pivot else [(src, dst)]:
                     texts = translator(texts, a, b)
-                batch.loc[rows, "chunk"] = texts
-            yield batch
+                said = iter(texts)
+                translated.loc[rows] = [" ".join(islice(said, len(parts))) for parts in pieces]
+            yield batch.drop(columns=["parts", *route]).assign(translated=translated)
 
-    done = work.mapInPandas(run, schema)
-    texts = done.groupBy(*key, "method", "truncated_at").agg(
-        F.array_sort(F.collect_list(F.struct("part", "chunk"))).alias("p")
-    )
-    translated = texts.select(
-        *key, F.array_join(F.transform("p", lambda x: x["chunk"]), " ").alias("translated"),
-        "method", F.lit(None).cast("string").alias("error"), "truncated_at",
-    )
-    return ready.unionByName(translated)
+    named = StructType([*work.drop("parts", *route).schema.fields, StructField("translated", StringType())])
+    done = work.mapInPandas(run, named)
+    return ready.unionByName(done)
 
 
 def translate_by_table(df: DataFrame, phrases: DataFrame, key: list[str], text: str = "text") -> DataFrame:

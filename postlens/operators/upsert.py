@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlens.operators.export import numbered
+
 KEY = ["platform", "post_id"]
 KEPT = ["id", "created_at", "updated_at"]
 
@@ -30,13 +32,17 @@ def upsert_posts(
     """New state of the table after writing ``batch`` on ``(platform, post_id)``.
 
     Payload columns of the batch overwrite; id, created_at and updated_at of a known key
-    stay; ``cluster_id`` becomes null again unless ``keep_clusters``. New rows get ids
-    above the present maximum, unique but with gaps.
+    stay; ``cluster_id`` becomes null again unless ``keep_clusters``. New rows are numbered
+    without gaps above the present maximum, in the order of their keys.
     """
     order = order or [F.col("published_at"), F.col("original_text")]
     incoming = latest_per_key(batch.drop(*KEPT), order)
     payload = [c for c in target.columns if c not in KEY + KEPT]
-    new = incoming.select(*KEY, F.struct(*[c for c in payload if c in incoming.columns]).alias("new"))
+    unknown = batch.select(*KEY).distinct().join(target.select(*KEY), KEY, "left_anti")
+    places = numbered(unknown, [F.col(k) for k in KEY], "_place")
+    new = incoming.join(places, KEY, "left").select(
+        *KEY, "_place", F.struct(*[c for c in payload if c in incoming.columns]).alias("new")
+    )
     old = target.select(*KEY, F.struct(*[c for c in target.columns if c not in KEY]).alias("old"))
     joined = old.join(new, KEY, "full_outer")
     arrived = F.col("new").isNotNull()
@@ -44,8 +50,7 @@ def upsert_posts(
     def value(name: str) -> Column:
         if name == "id":
             base = F.lit(target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar())
-            fresh_id = base + F.lit(1) + F.monotonically_increasing_id()
-            return F.coalesce(F.col("old.id"), fresh_id)
+            return F.coalesce(F.col("old.id"), base + F.col("_place"))
         if name in KEPT:
             return F.when(F.col("old").isNull(), now).otherwise(F.col(f"old.{name}"))
         if name == "cluster_id":

@@ -372,18 +372,21 @@ def _now():
     return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
 
 
-@query("k1_upsert", f"""WITH {_BATCH}
- SELECT coalesce(b.platform, p.platform) AS platform, coalesce(b.post_id, p.post_id) AS post_id,
+@query("k1_upsert", f"""WITH {_BATCH},
+ n AS (SELECT platform, post_id, row_number() OVER (ORDER BY platform, post_id) AS place
+   FROM b ANTI JOIN posts USING (platform, post_id))
+ SELECT coalesce(p.id, (SELECT max(id) FROM posts) + n.place) AS id, coalesce(b.platform, p.platform) AS platform, coalesce(b.post_id, p.post_id) AS post_id,
  p.id AS kept_id, coalesce(b.likes, p.likes) AS likes,
  coalesce(b.original_text, p.original_text) AS original_text,
  CASE WHEN b.post_id IS NULL THEN p.cluster_id END AS cluster_id,
  coalesce(p.created_at, TIMESTAMP '2024-02-01 00:00:00') AS created_at
- FROM posts p FULL OUTER JOIN b ON p.platform = b.platform AND p.post_id = b.post_id""")
+ FROM posts p FULL OUTER JOIN b ON p.platform = b.platform AND p.post_id = b.post_id
+ LEFT JOIN n ON n.platform = b.platform AND n.post_id = b.post_id""")
 def _(spark, d):
     out = upsert.upsert_posts(posts(spark, d), _batch(spark, d), _now())
     known = ~F.col("post_id").startswith("n")
     return out.select(
-        "platform", "post_id", F.when(known, F.col("id")).alias("kept_id"),
+        "id", "platform", "post_id", F.when(known, F.col("id")).alias("kept_id"),
         F.col("engagement.likes").alias("likes"), "original_text", "cluster_id", "created_at",
     )
 

@@ -58,11 +58,8 @@ def posts_sql(documents: str = "documents") -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that fits fewer splits than there are cores is spread over them;
-    a large table has more splits than cores and is never moved."""
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    """A given table, in the splits of its files."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def posts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postlens.functions import rules
 from postlens.functions import summary as S
 from postlens.functions.patterns import re2, squeeze
+from postlens.functions.text import word_count
 from postlens.operators import summarize
 from postlens.plans.fixture import posts, read
 from postlens.plans.registry import query
@@ -86,8 +87,10 @@ def _(spark, d):
 
 @query("m8_tiny_label")
 def _(spark, d):
-    start = squeeze(F.substring_index(F.col("text"), " ", 8))
-    return turns(spark, d).select(*TURN, S.tiny_label(start, start).alias("label"))
+    # the label is for tiny posts: whole turns of at most 8 words, null for the others
+    whole = squeeze(F.col("text"))
+    label = F.when(word_count(whole) <= S.TINY_POST_WORDS, S.tiny_label(whole, whole))
+    return turns(spark, d).select(*TURN, label.alias("label"))
 
 
 @query("m9_compress")

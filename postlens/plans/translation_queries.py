@@ -102,8 +102,8 @@ def _plan_sql(mode):
  CASE WHEN method = 'remote_mymemory' THEN {_case(T.REMOTE_CODES, 'dst_code')} END AS remote_target FROM m"""
 
 
-def _planned(spark, d, mode):
-    return T.translation_plan(T.with_source(_requests(spark, d), _many(spark)), mode)
+def _planned(spark, d, mode, max_chars=None):
+    return T.translation_plan(T.with_source(_requests(spark, d), _many(spark)), mode, max_chars)
 
 
 def _plan_query(mode):
@@ -111,7 +111,7 @@ def _plan_query(mode):
 
     @query(name, _plan_sql(mode))
     def run(spark, d):
-        return _planned(spark, d, mode).select(
+        return _planned(spark, d, mode, T.MAX_CHARS).select(
             "id", "method", "error", "truncated_at", "remote_source", "remote_target"
         )
 

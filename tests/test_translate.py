@@ -14,7 +14,7 @@ def plan(spark, rows, mode):
     schema = "id int, text string, source_language string, target_language string, translations map<string,string>"
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
     many = spark.createDataFrame([("por",), ("lat",)], "code string")
-    out = T.translation_plan(T.with_source(df, many), mode).orderBy("id").collect()
+    out = T.translation_plan(T.with_source(df, many), mode, T.MAX_CHARS).orderBy("id").collect()
     return [(r.method, r.error, r.truncated_at) for r in out]
 
 
@@ -66,3 +66,26 @@ def test_translator_gets_pivots_twice(spark):
     say = lambda texts, a, b: [f"{t}|{a}>{b}" for t in texts]
     got = {r.id: (r.translated, r.error) for r in T.translate(planned, ["id"], say).collect()}
     assert got == {1: ("a|hi>en|en>de", None), 2: ("b|en>de", None), 3: ("c", None), 4: (None, "unsupported_target")}
+
+
+def test_whole_texts_are_translated(spark):
+    schema = "id int, text string, source_language string, target_language string, translations map<string,string>"
+    long = " ".join(f"Sentence {i} of a long text." for i in range(200)) + " The end."
+    rows = [(1, long, "hi", "english", {}), (2, "x" * 1300, "hi", "english", {}), (3, "kurz", "de", "english", {})]
+    many = spark.createDataFrame([("por",)], "code string")
+    sourced = T.with_source(spark.createDataFrame(rows, schema), many)
+    say = lambda texts, a, b: [t.upper() for t in texts]
+    for mode in ("local", "remote"):
+        got = {r.id: r for r in T.translate(T.translation_plan(sourced, mode), ["id"], say).collect()}
+        assert got[1].translated == long.upper() and got[1].truncated_at is None
+        assert got[2].translated.replace(" ", "") == "X" * 1300
+        assert got[3].translated == "KURZ"
+    cut = T.translate(T.translation_plan(sourced, "local", T.MAX_CHARS), ["id"], say).collect()
+    assert {r.id: len(r.translated) for r in cut} == {1: 512, 2: 512, 3: 4}
+
+
+def test_code_table_may_be_large(spark):
+    requests = spark.createDataFrame([(1, "por"), (2, "qqq"), (3, None)], "id int, source_language string")
+    many = spark.range(20_000).selectExpr("CASE WHEN id < 3 THEN 'por' WHEN id > 5 THEN 'c' || id END AS code")
+    got = T.with_source(requests, many).orderBy("id").collect()
+    assert [(r.source_code, r.via_many) for r in got] == [("por", True), (None, None), (None, None)]
