@@ -25,14 +25,14 @@ KINDS = ("email", "ip", "card", "phone")
 
 # The identifiers' patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _NOT_DIGITS = re.compile(r"[^0-9]")
 _LONG_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_DOTTED_RUN = re.compile(r"[0-9]+\.[0-9]+\.")
+_DOTTED_RUN = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.")
 
 Span = tuple[int, int]
 
@@ -59,10 +59,15 @@ def _emails(text: str) -> list[Span]:
     return found
 
 
+def _is_octet(digits: str) -> bool:
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def _ips(text: str) -> list[Span]:
     if not _DOTTED_RUN.search(text):
         return []
-    return [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    return [m.span() for m in IP.finditer(text) if all(_is_octet(p) for p in m[0].split("."))]
 
 
 def _cards(text: str) -> list[Span]:
