@@ -35,7 +35,11 @@ def _(spark, d):
     return turns(spark, d).select(*TURN, S.author_tldr(told).alias("tldr"))
 
 
-@query("m2_sentences")
+@query("m2_sentences", f"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(
+   {rep(sql_squeeze('text'), r'([.!?])\s+([A-ZÀ-ÖØ-Þ0-9"“‘])', chr(92) + '1' + chr(1) + chr(92) + '2')}, '{chr(1)}'),
+   lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations)
+ SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS idx, unnest(l) AS sentence FROM s""",
+       with_posts=False)
 def _(spark, d):
     split = S.split_sentences(squeeze(F.col("text")))
     return turns(spark, d).select(*TURN, F.posexplode(split).alias("idx", "sentence"))
@@ -85,7 +89,19 @@ def _(spark, d):
     return turns(spark, d).select(*TURN, told.alias("told"), S.frame(F.col("text")).alias("frame"))
 
 
-@query("m8_tiny_label")
+_CAPITAL = lambda e: f"(upper(substr({sql_squeeze(e)}, 1, 1)) || substr({sql_squeeze(e)}, 2))"
+_ENDED = lambda e: f"CASE WHEN {e} = '' OR regexp_matches({e}, '[.!?…]$') THEN {e} ELSE {e} || '.' END"
+_QUESTION = lambda e: f"(contains({e}, '?') OR regexp_matches({e}, {q(re2(S.QUESTION_START))}))"
+_WORDS = lambda e: f"list_filter(string_split({e}, ' '), lambda x: x <> '')"
+
+
+@query("m8_tiny_label", f"""WITH s AS (SELECT conv_id, turn, {sql_squeeze('text')} AS t FROM conversations),
+ c AS (SELECT *, {_CAPITAL('t')} AS cap, trim(regexp_replace(t, '[.!?]+$', '')) AS subject FROM s)
+ SELECT conv_id, turn, CASE WHEN t = '' OR len({_WORDS('t')}) > 8 THEN NULL
+   WHEN regexp_matches(t, '[.!?]$') AND len({_WORDS('t')}) >= 4 THEN {_ENDED('cap')}
+   WHEN NOT regexp_matches(subject, '[\\p{{L}}\\p{{N}}]') THEN {_ENDED('cap')}
+   ELSE CASE WHEN {_QUESTION('t')} THEN 'Short post asking about ' ELSE 'Short post about ' END
+     || lower(substr(subject, 1, 1)) || substr(subject, 2) || '.' END AS label FROM c""", with_posts=False)
 def _(spark, d):
     # the label is for tiny posts: whole turns of at most 8 words, null for the others
     whole = squeeze(F.col("text"))
@@ -126,7 +142,18 @@ def pairs(spark, d):
 _PAIRS = "pairs AS (SELECT id, original_text AS source, summary FROM posts WHERE summary IS NOT NULL)"
 
 
-@query("m12_degenerate")
+def _degenerate(w):
+    """A word or phrase of up to four words said twice in a row, in the list ``w``."""
+    twice = lambda n: f"""len(list_filter(range(1, len({w}) - {2 * n - 2}), lambda i: {w}[i:i + {n - 1}] = {w}[i + {n}:i + {2 * n - 1}]
+      AND length(array_to_string({w}[i:i + {n - 1}], ' ')) > {2 if n == 1 else 8})) > 0"""
+    return "(" + " OR ".join(twice(n) for n in (1, 2, 3, 4)) + ")"
+
+
+_SPOKEN = lambda e: _WORDS(sql_squeeze(f"regexp_replace(lower({sql_squeeze(e)}), '[-–—]', ' ', 'g')"))
+
+
+@query("m12_degenerate", f"""WITH s AS (SELECT conv_id, turn, {_SPOKEN('text')} AS w FROM conversations)
+ SELECT conv_id, turn, {_degenerate('w')} AS degenerate FROM s""", with_posts=False)
 def _(spark, d):
     return turns(spark, d).select(*TURN, S.degenerate(F.col("text")).alias("degenerate"))
 
@@ -160,7 +187,23 @@ def _(spark, d):
     return pairs(spark, d).select("id", S.unfaithful(F.col("summary"), F.col("source")).alias("unfaithful"))
 
 
-@query("m16_summary_guards")
+@query("m16_summary_guards", f"""WITH {_PAIRS}, t AS (SELECT id, source, summary, {_SPOKEN('summary')} AS w,
+   {sql_squeeze('source')} AS long_text, {sql_squeeze('summary')} AS short_text, {COMPARISON('source')} AS src,
+   {COMPARISON('summary')} AS s, {CONTENT('source')} AS known, {CONTENT('summary')} AS told,
+   list_transform(regexp_extract_all(source, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')) AS a,
+   list_transform(regexp_extract_all(summary, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')) AS b FROM pairs),
+ g AS (SELECT *, list_transform(range(1, len(s) - 4), lambda i: s[i:i + 5]) AS grams,
+   list_transform(range(1, len(src) - 4), lambda i: src[i:i + 5]) AS runs FROM t),
+ f AS (SELECT id, {_degenerate('w')} AS degenerate,
+   len(s) >= 8 AND len(src) >= 12 AND
+     len(list_filter(grams, lambda x: list_contains(runs, x))) / greatest(len(grams), 1) >= 0.55 AS copied,
+   len(s) >= 8 AND src[1:len(s)] = s AS verbatim,
+   len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 OR (len(told) > 0 AND
+     len(list_filter(told, lambda v: len(list_filter(known, lambda x: starts_with(x, v[1:5]) OR starts_with(v, x[1:5]))) = 0))
+     / greatest(len(told), 1) > 0.34) AS unfaithful,
+   len({_WORDS('short_text')}) < 7 AND len({_WORDS('long_text')}) > 18 AS too_few_words,
+   {_QUESTION('long_text')} AND NOT contains(summary, '?') AS lost_question FROM g)
+ SELECT *, degenerate OR copied OR verbatim OR unfaithful OR too_few_words OR lost_question AS rejected FROM f""")
 def _(spark, d):
     return summarize.summary_guards(pairs(spark, d)).drop("source", "summary")
 

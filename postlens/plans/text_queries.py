@@ -132,7 +132,17 @@ U16 = lambda e: f"(length({e}) + length(regexp_replace({e}, '[^\\x{{10000}}-\\x{
 STOPS = ", ".join(q(w) for w in rules.REPEAT_STOP_WORDS)
 
 
-@query("g1_repeated_char_ratio")
+# runs of one character, counted where each character stands alone in a row
+_RUNS = f"""h AS MATERIALIZED (SELECT doc_id, {STRIP_HTML('text')} AS t FROM documents),
+ ch AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS island
+   FROM (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM h)),
+ ru AS (SELECT doc_id, sum(n) AS hits FROM (SELECT doc_id, c, island, count(*) AS n FROM ch GROUP BY ALL)
+   WHERE n >= 4 AND ord(c) <= 65535 GROUP BY ALL),
+ g1 AS (SELECT doc_id, t, CASE WHEN t = '' THEN 0.0 ELSE coalesce(hits, 0) / {U16('t')} END::DOUBLE AS ratio
+   FROM h LEFT JOIN ru USING (doc_id))"""
+
+
+@query("g1_repeated_char_ratio", f"WITH {_RUNS} SELECT doc_id, round(ratio, 6) AS ratio FROM g1", with_posts=False)
 def _(spark, d):
     return docs(spark, d).select(
         "doc_id", F.round(quality.repeated_char_ratio(text.strip_html(F.col("text"))), 6).alias("ratio")
@@ -149,11 +159,14 @@ def _(spark, d):
     )
 
 
-@query("g3_repeated_word_ratio", f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(
+_REPEATED_WORDS = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(
    lower({STRIP_HTML('text')}), '\\b[\\p{{L}}\\p{{N}}]+\\b')) AS word FROM documents),
  m AS (SELECT * FROM w WHERE length(word) >= 3 AND word NOT IN ({STOPS})),
  c AS (SELECT doc_id, word, count(*) AS n FROM m GROUP BY ALL),
- r AS (SELECT doc_id, sum(n) AS total, coalesce(sum(n) FILTER (n >= 3), 0) AS hits FROM c GROUP BY ALL)
+ r AS (SELECT doc_id, sum(n) AS total, coalesce(sum(n) FILTER (n >= 3), 0) AS hits FROM c GROUP BY ALL)"""
+
+
+@query("g3_repeated_word_ratio", f"""WITH {_REPEATED_WORDS}
  SELECT doc_id, CASE WHEN coalesce(total, 0) < 4 THEN 0.0 ELSE round(hits / total, 6) END::DOUBLE AS ratio
  FROM documents LEFT JOIN r USING (doc_id)""", with_posts=False)
 def _(spark, d):
@@ -168,7 +181,14 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", quality.too_short(text.strip_html(F.col("text"))).alias("too_short"))
 
 
-@query("g5_text_quality")
+@query("g5_text_quality", f"""WITH {_RUNS}, {_REPEATED_WORDS},
+ y AS (SELECT doc_id, {U16(STRIP_URLS('t'))} < 15 AS short, ratio > 0.3 AS chars,
+   t <> '' AND {U16(rep('t', r'[\p{L}\p{N}\s]', ''))} / greatest({U16('t')}, 1) > 0.5 AS symbols,
+   coalesce(total >= 4 AND hits / total > 0.5, false) AS repeats FROM g1 LEFT JOIN r USING (doc_id)),
+ z AS (SELECT *, CAST(2 * short::INT + 4 * chars::INT + 4 * symbols::INT + 4 * repeats::INT AS BIGINT) AS score FROM y)
+ SELECT doc_id, score >= 4 AS is_gibberish, score, concat_ws(',', CASE WHEN short THEN 'too_short' END,
+   CASE WHEN chars THEN 'repeated_characters' END, CASE WHEN symbols THEN 'high_symbol_ratio' END,
+   CASE WHEN repeats THEN 'repeated_words' END) AS reasons FROM z""", with_posts=False)
 def _(spark, d):
     out = quality.text_quality(docs(spark, d), "text")
     return out.select(
@@ -182,6 +202,7 @@ _SCRIPT_COUNTS = ", ".join(
     f"struct_pack(n := len(regexp_extract_all(t, {q(f'[{block}]')})), o := {-i}, code := {q(code)})"
     for i, (code, block) in enumerate(rules.SCRIPT_BLOCKS)
 )
+_LATIN = ", ".join(q(code) for code in rules.LATIN_LANGUAGES)
 
 
 @query("l1_dominant_script", f"""WITH s AS (SELECT doc_id, {rep('text', text.TAG_OR_MENTION, ' ')} AS t FROM documents),
@@ -259,13 +280,37 @@ def _iso3(spark, d):
     return language_id.train_profiles(docs(spark, d).withColumn("lang", code))
 
 
-@query("l5_decide_language")
+# script, then both identifications of every text that is asked, each in full
+_DECIDED = f"""pt AS MATERIALIZED (SELECT id, platform, post_id, {STRIP_URLS(STRIP_HTML('original_text'))} AS plain FROM posts),
+ sc AS (SELECT *, {rep('plain', text.TAG_OR_MENTION, ' ')} AS t, {NOISE('plain')} AS noise FROM pt),
+ sb AS (SELECT *, len(regexp_extract_all(t, '\\p{{L}}')) AS letters, list_max([{_SCRIPT_COUNTS}]) AS best FROM sc),
+ ss AS MATERIALIZED (SELECT id, platform, post_id, plain, noise,
+   CASE WHEN letters > 0 AND best.n >= 6 AND best.n / letters >= 0.15 THEN best.code END AS script FROM sb),
+ sk AS MATERIALIZED (SELECT *, script IS NULL AND {U16('plain')} >= 20 AS asked,
+   len(regexp_extract_all(noise, '\\p{{L}}')) AS nl, len(regexp_extract_all(noise, '\\p{{Latin}}')) AS latin FROM ss),
+ iso AS (SELECT CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' END
+   AS lang, text FROM documents),
+ p AS {sql_ranked(sql_trigram_counts("iso", "lang", "text"), "lang")},
+ o AS {sql_ranked(sql_trigram_counts('''(SELECT id, 0 AS kind, plain AS body FROM sk WHERE asked
+   UNION ALL SELECT id, 1, noise FROM sk WHERE asked)''', "id, kind", "body"), "id, kind")},
+ oz AS (SELECT id, kind, count(*) AS size FROM o GROUP BY ALL),
+ os AS (SELECT o.id, o.kind, p.lang, sum(300 - abs(o.rank - p.rank)) AS saved FROM o JOIN p USING (tri) GROUP BY ALL),
+ od AS (SELECT id, arg_min(lang, (size * 300 - saved, lang)) FILTER (kind = 0) AS first,
+   arg_min(lang, (size * 300 - saved, lang)) FILTER (kind = 1) AS second FROM os JOIN oz USING (id, kind) GROUP BY id),
+ decided AS (SELECT platform, post_id, coalesce(script, CASE WHEN first IS NULL THEN NULL
+     WHEN nl = 0 OR latin / nl < 0.5 THEN first WHEN {U16('noise')} >= 20 AND second IN ({_LATIN}) THEN second
+     ELSE 'eng' END) AS new_language, CASE WHEN asked THEN first IS NOT NULL END AS identified
+   FROM sk LEFT JOIN od USING (id))"""
+
+
+@query("l5_decide_language", f"WITH {_DECIDED} SELECT platform, post_id, new_language, identified FROM decided")
 def _(spark, d):
     out = language_id.decide_language(posts(spark, d), _iso3(spark, d), upsert.KEY)
     return out.select("platform", "post_id", "new_language", "identified")
 
 
-@query("k6_backfill_language")
+@query("k6_backfill_language", f"""WITH {_DECIDED} SELECT platform, post_id, 'eng' AS language, new_language
+ FROM decided WHERE new_language IS DISTINCT FROM 'eng'""")
 def _(spark, d):
     table = posts(spark, d)
     found = language_id.decide_language(table, _iso3(spark, d), upsert.KEY)
