@@ -253,3 +253,10 @@ def test_mixing_of_odd_rows(table, odd_rows):
     left = mixing.draw_mixture(df)
     assert left.columns == df.columns and left.count() == sum(r["selected"] for r in got)
     assert mixing.mix(table([])).count() == 0
+
+
+def test_octets_with_very_many_zeros():
+    zeros = "0" * 6000
+    assert pii.plain_spans(f"{zeros}1.2.3.4 x") == [("ip", 0, 6007)]
+    assert pii.plain_spans("7" * 50_000) == []
+    assert pii.plain_spans("1.2.3.4.5.6.7.8") == [("ip", 0, 7), ("ip", 8, 15)]
