@@ -128,3 +128,14 @@ def test_group_limit_runs_before_the_shuffle(spark):
 
     text = plan(cluster_preview(posts(spark, SF)))
     assert text.count("WindowGroupLimit") == 2
+
+
+def test_ids_stay_dense_over_many_merges(spark):
+    table = posts(spark, SF).limit(20)
+    now = F.lit("2024-02-01").cast("timestamp_ntz")
+    start, top = table.count(), table.agg(F.max("id")).first()[0]
+    for k in range(5):
+        fresh = table.limit(7).withColumn("post_id", F.concat(F.lit(f"m{k}-"), "post_id"))
+        table = upsert.upsert_posts(table, fresh.unionByName(fresh).repartition(4), now).checkpoint()
+    assert table.count() == start + 35
+    assert sorted(r.id for r in table.filter("post_id LIKE 'm%'").select("id").collect()) == list(range(top + 1, top + 36))
