@@ -1,9 +1,15 @@
-"""Statistical language identification by trigram rank distance, as joins and groupings."""
+"""Statistical language identification by trigram rank distance.
+
+Profiles are trained by grouping; a text is then ranked inside its row, against a model of
+bounded size, so that no text is shuffled.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import heapq
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +23,18 @@ from postlens.functions.text import (
 
 PROFILE_SIZE = 300
 MIN_RANKED_LENGTH = 10
+MAX_LANGUAGES = 1000
 MIN_IDENTIFY_LENGTH = 20
 
 
+def letters_only(text: Column) -> Column:
+    """Lower-cased words made of letters and marks, parted by one blank."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")
+
+
 def letter_words(text: Column) -> Column:
-    """Lower-cased words made of letters and marks."""
-    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " ")
-    return F.filter(F.split(letters, " "), lambda w: w != "")
+    """The words of ``letters_only``."""
+    return F.filter(F.split(letters_only(text), " "), lambda w: w != "")
 
 
 def word_trigrams(word: Column) -> Column:
@@ -59,93 +70,109 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     return _profile(words, ["lang"])
 
 
-def _distances(words: DataFrame, profiles: DataFrame, group: list[str]) -> DataFrame:
-    """``(group, lang, distance)`` for every language sharing a trigram with the group.
-
-    The out-of-place distance is what all trigrams of the group would cost when missing,
-    less what the shared ones save; only the shared ones need the join. A profile table has
-    300 rows per language, which bounds the broadcast.
-    """
-    own = _profile(words, group)
-    model = F.broadcast(profiles.select("lang", "tri", F.col("rank").alias("_model")))
-    saved = F.lit(PROFILE_SIZE) - F.abs(F.col("rank") - F.col("_model"))
-    sized = own.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    shared = sized.join(model, "tri").groupBy(*group, "lang", "_size")
-    return shared.agg(F.sum(saved).alias("_saved")).select(
-        *group, "lang", (F.col("_size") * PROFILE_SIZE - F.col("_saved")).alias("distance")
-    )
+def _places(profiles: DataFrame) -> dict[str, list[tuple[str, int]]]:
+    """Trigram to ``(lang, rank)`` pairs; bounded by 300 rows for each allowed language."""
+    limit = MAX_LANGUAGES * PROFILE_SIZE
+    rows = profiles.select("tri", "lang", "rank").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"profiles of more than {MAX_LANGUAGES} languages")
+    places: dict[str, list[tuple[str, int]]] = {}
+    for tri, lang, rank in rows:
+        places.setdefault(tri, []).append((lang, rank))
+    return places
 
 
-def _by_key(df: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """Key and text, placed by key: every later grouping of a text stays where it is.
+def _ranking(profiles: DataFrame):
+    """Function of a text column: ``array<struct<distance, lang>>``, nearest first, of every
+    language sharing a trigram with the text.
 
-    Saying that the key is never null lets all branches of a job share this shuffle.
+    The out-of-place distance is what all trigrams of the text would cost when missing, less
+    what the shared ones save. The function refers to nothing of this package, so workers
+    need not import it.
     """
-    present_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    return df.filter(present_key).select(*key, text.alias("_text")).repartition(*key)
+    shared = profiles.sparkSession.sparkContext.broadcast(_places(profiles))
+    size = PROFILE_SIZE
+
+    def distances(letters: str) -> list[dict]:
+        counts: Counter[str] = Counter()
+        for word, n in Counter(letters.split(" ")).items():
+            if word:
+                padded = f" {word} "
+                for i in range(len(word)):
+                    counts[padded[i : i + 3]] += n
+        own = heapq.nsmallest(size, counts.items(), key=lambda c: (-c[1], c[0]))
+        saved: Counter[str] = Counter()
+        for rank, (tri, _) in enumerate(own):
+            for lang, model_rank in shared.value.get(tri, ()):
+                saved[lang] += size - abs(rank - model_rank)
+        nearest = sorted((len(own) * size - s, lang) for lang, s in saved.items())
+        return [{"distance": d, "lang": lang} for d, lang in nearest]
+
+    @F.pandas_udf("array<struct<distance:bigint,lang:string>>")
+    def ranked(letters: pd.Series) -> pd.Series:
+        return letters.map(distances)
+
+    # declared so that later filters and lambdas use its column instead of a second call
+    once = ranked.asNondeterministic()
+    return lambda text: once(letters_only(text))
 
 
 def rank_languages(df: DataFrame, profiles: DataFrame, key: list[str], text: Column) -> DataFrame:
     """``(key, lang, distance, place)`` for texts of at least ten characters, nearest first."""
-    usable = _by_key(df, key, text).filter(utf16_length(F.col("_text")) >= MIN_RANKED_LENGTH)
-    words = usable.select(*key, F.explode(letter_words(F.col("_text"))).alias("word"))
-    nearest = Window.partitionBy(*key).orderBy("distance", "lang")
-    return _distances(words, profiles, key).withColumn("place", F.row_number().over(nearest))
+    usable = F.when(utf16_length(text) >= MIN_RANKED_LENGTH, text)
+    found = df.select(*key, _ranking(profiles)(usable).alias("_found"))
+    return found.select(*key, F.posexplode("_found").alias("_at", "_hit")).select(
+        *key, "_hit.lang", "_hit.distance", (F.col("_at") + 1).alias("place")
+    )
 
 
 def identify(df: DataFrame, profiles: DataFrame, key: list[str], text: Column) -> DataFrame:
     """``(key, lang)``: the nearest language; texts without any shared trigram have no row."""
-    usable = _by_key(df, key, text).filter(utf16_length(F.col("_text")) >= MIN_RANKED_LENGTH)
-    words = usable.select(*key, F.explode(letter_words(F.col("_text"))).alias("word"))
-    distances = _distances(words, profiles, key)
-    return distances.groupBy(*key).agg(F.min(F.struct("distance", "lang")).alias("_best")).select(
-        *key, "_best.lang"
-    )
+    ranked = rank_languages(df, profiles, key, text)
+    return ranked.filter(F.col("place") == 1).select(*key, "lang")
 
 
-def decide_language(
-    df: DataFrame, profiles: DataFrame, key: list[str], text: str = "original_text"
-) -> DataFrame:
-    """``(key, new_language, identified)``; ``identified`` is null when it was not tried.
+def with_language(df: DataFrame, profiles: DataFrame, text: str = "original_text") -> DataFrame:
+    """Add ``new_language`` and ``identified``, which is null when it was not tried.
 
     Script first; else identification on texts of at least 20 characters, settled for Latin
     text by a second identification on the text without noise. Only texts without a
     dominant script reach the statistics, and only those with links, tags or mentions count
     twice: for the rest both identifications see the same letters.
     """
-    plain, cleaned = F.col("_text"), F.col("_cleaned")
-    placed = _by_key(df, key, strip_urls(strip_html(F.col(text)))).withColumn(
-        "_script", dominant_script(plain)
-    )
+    rank = _ranking(profiles)
+    nearest = lambda name: F.get(F.col(name), F.lit(0))["lang"]
+    plain, cleaned = F.col("_plain"), F.col("_cleaned")
     asked = F.col("_script").isNull() & (utf16_length(plain) >= MIN_IDENTIFY_LENGTH)
     noisy = plain.rlike(java(f"{URL}|{TAG_OR_MENTION_ANY_SCRIPT}"))
-    facts = (
-        placed.withColumn("_cleaned", F.when(asked, strip_language_noise(plain)))
-        .select(
-            *key, "_script", asked.alias("_asked"), noisy.alias("_noisy"),
-            mostly_not_latin(cleaned).alias("_other"),
-            (utf16_length(cleaned) >= MIN_REFINE_LENGTH).alias("_long"),
+    staged = (
+        df.withColumn("_plain", strip_urls(strip_html(F.col(text))))
+        .withColumn("_script", dominant_script(plain))
+        .withColumns({"_asked": asked, "_noisy": noisy})
+        .withColumn("_cleaned", F.when(F.col("_asked"), strip_language_noise(plain)))
+        .withColumns(
+            {
+                "_first": rank(F.when(F.col("_asked"), plain)),
+                "_second": rank(F.when(F.col("_noisy"), cleaned)),
+            }
         )
-    )
-    # rows that are not asked explode to nothing: a filter on computed text would be pushed
-    # below the placement and repeat the cleaning there
-    texts = F.array_compact(F.array(plain, F.when(noisy, strip_language_noise(plain))))
-    words = (
-        placed.select(*key, F.posexplode(F.when(asked, texts)).alias("_kind", "_body"))
-        .select(*key, "_kind", F.explode(letter_words(F.col("_body"))).alias("word"))
-    )
-    best = F.min(F.when(F.col("_kind") == 0, F.struct("distance", "lang")))
-    again = F.min(F.when(F.col("_kind") == 1, F.struct("distance", "lang")))
-    found = (
-        _distances(words, profiles, [*key, "_kind"])
-        .groupBy(*key)
-        .agg(best.alias("_best"), again.alias("_again"))
-        .select(*key, F.col("_best.lang").alias("_first"), F.col("_again.lang").alias("_second"))
+        .withColumns({"_first": nearest("_first"), "_second": nearest("_second")})
     )
     opinion = F.when(F.col("_noisy"), F.col("_second")).otherwise(F.col("_first"))
-    settled = settle_latin(F.col("_other"), F.col("_long"), F.col("_first"), opinion)
-    return facts.join(found, key, "left").select(
-        *key,
-        F.coalesce("_script", F.when(F.col("_first").isNotNull(), settled)).alias("new_language"),
-        F.when(F.col("_asked"), F.col("_first").isNotNull()).alias("identified"),
+    settled = settle_latin(
+        mostly_not_latin(cleaned), utf16_length(cleaned) >= MIN_REFINE_LENGTH, F.col("_first"), opinion
     )
+    return staged.withColumns(
+        {
+            "new_language": F.coalesce("_script", F.when(F.col("_first").isNotNull(), settled)),
+            "identified": F.when(F.col("_asked"), F.col("_first").isNotNull()),
+        }
+    ).drop("_plain", "_script", "_asked", "_noisy", "_cleaned", "_first", "_second")
+
+
+def decide_language(
+    df: DataFrame, profiles: DataFrame, key: list[str], text: str = "original_text"
+) -> DataFrame:
+    """``(key, new_language, identified)`` as ``with_language`` decides them."""
+    texts = df.select(*key, F.col(text).alias("_text"))
+    return with_language(texts, profiles, "_text").select(*key, "new_language", "identified")

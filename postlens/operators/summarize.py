@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import summary as S
@@ -17,56 +15,80 @@ from postlens.functions.text import (
 SCORED = "array<struct<idx:int,sentence:string,tokens:array<string>,words:int,score:double>>"
 
 
-def _keyed(df: DataFrame, key: list[str], text: Column) -> DataFrame:
-    """Key and a text, placed by key.
+def placed(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Key and cleaned text."""
+    return df.select(*key, clean_platform_noise(F.col(text)).alias("cleaned"))
 
-    The key is the primary key and never null; saying so lets every branch of the job read
-    the same shuffle, because joins on the key then add no filter of their own.
-    """
-    present_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    return df.filter(present_key).select(*key, text).repartition(*key)
 
+def repeated_weights(token_lists: Column) -> Column:
+    """Per sentence: the sum over its tokens of their count in the text, each at most three.
 
-def placed(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """Key and cleaned text: cleaned once, shuffled once, read by all steps below."""
-    return _keyed(df, key, clean_platform_noise(F.col(text)).alias("cleaned"))
+    In the sorted tokens of a text a count of up to three shows in the two neighbours on
+    either side, so nothing is grouped: two sorts and one pass, all inside the row.
+    """
+    occurrences = F.flatten(
+        F.transform(
+            token_lists,
+            lambda ts, i: F.transform(ts, lambda t: F.struct(t.alias("token"), i.alias("idx"))),
+        )
+    )
 
+    def weighed(ordered: Column) -> Column:
+        def weight(x: Column, p: Column) -> Column:
+            same = lambda k: F.coalesce(F.get(ordered, p + k)["token"] == x["token"], F.lit(False)).cast("int")
+            count = F.least(F.lit(3), same(-2) + same(-1) + same(1) + same(2) + 1)
+            return F.struct(x["idx"].alias("idx"), count.alias("w"))
 
-def score_sentences(base: DataFrame, key: list[str]) -> DataFrame:
-    """``(key, cleaned, scored)``: every sentence with its tokens, words and score.
+        return F.sort_array(F.transform(ordered, weight))
 
-    Token counts of a post come from grouping its exploded tokens; the rows stay in the
-    partition of their key, so nothing but the placement is shuffled.
-    """
-    sentences = base.select(*key, F.posexplode(S.split_sentences(F.col("cleaned"))).alias("idx", "sentence"))
-    tokens = sentences.select(*key, "idx", F.explode(S.content_tokens(F.col("sentence"))).alias("token"))
-    per_sentence = tokens.groupBy(*key, "token", "idx").agg(F.count(F.lit(1)).alias("n"))
-    in_post = F.sum("n").over(Window.partitionBy(*key, "token"))
-    repeated = (
-        per_sentence.withColumn("weight", F.least(in_post, F.lit(3)) * F.col("n"))
-        .groupBy(*key, "idx")
-        .agg(F.sum("weight").alias("repeated"))
+    starts = F.aggregate(
+        token_lists, F.array(F.lit(0)),
+        lambda acc, ts: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(ts))),
     )
-    counted = repeated.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", "repeated"))).alias("repeated")
+    own = lambda p, ts, i: F.slice(p["weights"], F.get(p["starts"], i) + 1, F.size(ts))
+    return let(
+        F.struct(let(F.sort_array(occurrences), weighed).alias("weights"), starts.alias("starts")),
+        lambda p: F.transform(
+            token_lists,
+            lambda ts, i: F.aggregate(
+                own(p, ts, i), F.lit(0).cast("bigint"), lambda acc, x: acc + x["w"]
+            ),
+        ),
     )
-    parts = base.select(*key, "cleaned", S.split_sentences(F.col("cleaned")).alias("parts"))
-    joined = parts.join(counted, key, "left").withColumn(
-        "repeated", F.coalesce("repeated", F.create_map().cast("map<int,bigint>"))
+
+
+def with_scores(df: DataFrame) -> DataFrame:
+    """Add ``scored``: every sentence of ``cleaned`` with its tokens, words and score.
+
+    All of it is a function of one row; nothing is shuffled.
+    """
+    cut = F.transform(
+        S.split_sentences(F.col("cleaned")),
+        lambda s: F.struct(s.alias("sentence"), S.content_tokens(s).alias("tokens")),
     )
 
-    def entry(s: Column, i: Column, tokens: Column) -> Column:
-        shared = F.coalesce(F.element_at(F.col("repeated"), i), F.lit(0).cast("bigint"))
+    def entry(part: Column, i: Column, repeated: Column) -> Column:
+        sentence, tokens = part["sentence"], part["tokens"]
         return F.struct(
-            i.cast("int").alias("idx"), s.alias("sentence"),
-            F.array_distinct(tokens).alias("tokens"), F.size(words(s)).alias("words"),
-            S.sentence_weight(s, i, shared, tokens).alias("score"),
+            i.cast("int").alias("idx"), sentence.alias("sentence"),
+            F.array_distinct(tokens).alias("tokens"), F.size(words(sentence)).alias("words"),
+            S.sentence_weight(sentence, i, F.get(repeated, i), tokens).alias("score"),
         )
 
-    scored = F.transform(
-        F.col("parts"), lambda s, i: let(S.content_tokens(s), lambda t: entry(s, i, t))
+    # bound outside the lambda: a column named inside it once would be inlined there and
+    # computed again for every sentence
+    scored = let(
+        F.struct(F.col("_parts").alias("parts"), repeated_weights(F.col("_parts.tokens")).alias("repeated")),
+        lambda p: F.transform(p["parts"], lambda part, i: entry(part, i, p["repeated"])),
     )
-    return joined.select(*key, "cleaned", scored.cast(SCORED).alias("scored"))
+    return (
+        df.withColumn("_parts", cut).withColumn("scored", scored.cast(SCORED)).drop("_parts")
+    )
+
+
+def score_sentences(base: DataFrame, key: list[str]) -> DataFrame:
+    """``(key, cleaned, scored)`` from ``(key, cleaned)``."""
+    return with_scores(base.select(*key, "cleaned"))
 
 
 def core_sentences(
@@ -77,36 +99,42 @@ def core_sentences(
     return scored.select(*key, S.pick_sentences(F.col("scored"), budget, at_most).alias("core"))
 
 
-def compressed(base: DataFrame, key: list[str]) -> DataFrame:
-    """``(key, cleaned, compressed, condensed)``: compressor's text, model's shortened input.
+def with_compressed(df: DataFrame) -> DataFrame:
+    """Add ``compressed`` and ``condensed``: compressor's text, model's shortened input.
 
     The input of a long text is its chosen sentences; where they yield too little it is the
     whole cleaned text, never a prefix of it.
     """
     wide = F.length("cleaned") > S.MODEL_INPUT_CHARS
-    chosen = score_sentences(base, key).withColumn(
-        "core", S.pick_sentences(F.col("scored"), S.TARGET_WORDS, 2)
-    )
     condensed = F.when(
         wide, F.array_join(S.pick_sentences(F.col("scored"), 320, 10), " ")
     )
-    enough = F.coalesce(F.length(condensed) >= 40, F.lit(False))
-    source = F.when(enough, condensed).otherwise(F.col("cleaned"))
-    return chosen.select(
-        *key, "cleaned",
-        S.compress(F.col("cleaned"), F.col("core"), S.is_promotional(F.col("cleaned"))).alias("compressed"),
-        source.alias("condensed"),
+    enough = F.coalesce(F.length("_condensed") >= 40, F.lit(False))
+    return (
+        with_scores(df)
+        .withColumns(
+            {"_core": S.pick_sentences(F.col("scored"), S.TARGET_WORDS, 2), "_condensed": condensed}
+        )
+        .withColumns(
+            {
+                "compressed": S.compress(
+                    F.col("cleaned"), F.col("_core"), S.is_promotional(F.col("cleaned"))
+                ),
+                "condensed": F.when(enough, F.col("_condensed")).otherwise(F.col("cleaned")),
+            }
+        )
+        .drop("scored", "_core", "_condensed")
     )
 
 
 def compress(df: DataFrame, key: list[str], text: str = "original_text") -> DataFrame:
     """``(key, compressed)`` for every post; null where cleaning leaves nothing."""
-    return compressed(placed(df, key, text), key).select(*key, "compressed")
+    return with_compressed(placed(df, key, text)).select(*key, "compressed")
 
 
 def model_input(df: DataFrame, key: list[str], text: str = "original_text") -> DataFrame:
     """``(key, condensed)``: what a summary model should read."""
-    return compressed(placed(df, key, text), key).select(*key, "condensed")
+    return with_compressed(placed(df, key, text)).select(*key, "condensed")
 
 
 def summary_guards(pairs: DataFrame, source: str = "source", summary: str = "summary") -> DataFrame:
@@ -133,14 +161,29 @@ def summarize(
     ``candidates(key, candidate)`` are texts any model made from ``model_input``; without
     one a long post falls back to the compressor.
     """
-    texts = _keyed(df, key, squeeze(F.col(text)).alias("full"))
-    base = texts.join(compressed(placed(df, key, text), key), key)
+    base = df.select(*key, F.col(text).alias("_text"))
+    if candidates is None:
+        return with_summary(base, F.col("_text")).select(*key, "summary", "method")
+    offered = base.join(candidates.select(*key, F.col("candidate").alias("_offer")), key, "left")
+    return with_summary(offered, F.col("_text"), F.col("_offer")).select(*key, "summary", "method")
+
+
+def with_summary(df: DataFrame, text: Column, offer: Column | None = None) -> DataFrame:
+    """Add ``summary`` and ``method`` to ``df``, row by row.
+
+    The other columns travel in one struct, so their names cannot clash with those used here.
+    """
+    carried = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    given = F.lit(None).cast("string") if offer is None else S.tidy_candidate(offer)
+    base = with_compressed(
+        df.select(
+            carried, squeeze(text).alias("full"), clean_platform_noise(text).alias("cleaned"),
+            given.alias("candidate"),
+        )
+    )
     full, cleaned, candidate = F.col("full"), F.col("cleaned"), F.col("candidate")
-    if candidates is not None:
-        base = base.join(candidates.select(*key, "candidate"), key, "left")
-    given = F.lit(None).cast("string") if candidates is None else S.tidy_candidate(candidate)
     staged = base.select(
-        *key, "full", "cleaned", "compressed", given.alias("candidate"),
+        "_row", "full", "cleaned", "compressed", "candidate",
         word_count(full).alias("n_words"),
         # only a text that mentions the marker can hold the author's short version
         F.when(full.rlike(java(S.TLDR)), S.author_tldr(full)).alias("tldr"),
@@ -148,7 +191,7 @@ def summarize(
         S.is_promotional(cleaned).alias("promotional"),
     )
     has_candidate, failed = F.lit(False), F.lit(False)
-    if candidates is not None:
+    if offer is not None:
         has_candidate = F.coalesce(candidate, F.lit("")) != ""
         failed = (
             S.degenerate(candidate) | S.copied_phrase(cleaned, candidate)
@@ -176,4 +219,4 @@ def summarize(
         .when(F.col("method") == "model", finish(F.col("candidate")))
         .otherwise(F.coalesce("compressed", limit_words(cleaned)))
     )
-    return staged.withColumn("method", method).select(*key, summary.alias("summary"), "method")
+    return staged.withColumn("method", method).select("_row.*", summary.alias("summary"), "method")

@@ -136,7 +136,7 @@ def _(spark, d):
 @query("p12_enrich")
 def _(spark, d):
     plain = posts(spark, d).select("id", "platform", "post_id", "original_text")
-    out = enrich(plain, ["platform", "post_id"], _iso3(spark, d))
+    out = enrich(plain, _iso3(spark, d))
     return out.select(
         "id", "is_gibberish", "is_relevant", "category", "sentiment", "region", "language", "summary"
     )

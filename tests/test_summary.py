@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from postlens.functions import summary as S
-from postlens.operators import summarize
+from postlens.operators import language_id, summarize
+from postlens.operators.enrich import enrich
 
 
 def run(spark, texts, candidates=None):
@@ -112,3 +115,35 @@ def test_guards(spark):
     df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, source string, summary string")
     got = summarize.summary_guards(df).orderBy("i").collect()
     assert [(r.degenerate, r.copied, r.verbatim, r.unfaithful) for r in got] == [r[2:] for r in rows]
+
+
+def test_repeated_weights_against_a_plain_count(spark):
+    texts = [
+        [["a", "b", "a"], [], ["a", "c", "a", "a"], ["b"]], [[]], [], [["x"]], [["y"] * 5, ["y"]],
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t array<array<string>>")
+    got = {r["id"]: r["w"] for r in df.select("id", summarize.repeated_weights(F.col("t")).alias("w")).collect()}
+    for i, lists in enumerate(texts):
+        every = [w for ws in lists for w in ws]
+        assert got[i] == [sum(min(3, every.count(w)) for w in ws) for ws in lists]
+
+
+def test_labels_language_and_summary_place_no_text(spark):
+    df = spark.createDataFrame([(1, "passport renewal took nine weeks. " * 20)], "id int, original_text string")
+    profiles = language_id.train_profiles(spark.createDataFrame([("passport weeks", "eng")], "text string, lang string"))
+    out = enrich(df, profiles)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    [row] = out.collect()
+    assert row["language"] == "eng"
+
+
+def test_summary_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame(
+        [(1, None, "f", 2), (2, "", "g", 3), (3, "Short and sweet words here", "h", 4)],
+        "id int, t string, full string, cleaned int",
+    )
+    rows = {r["id"]: r for r in summarize.with_summary(df, F.col("t")).collect()}
+    assert [rows[i]["full"] for i in (1, 2, 3)] == ["f", "g", "h"]
+    assert rows[1]["summary"] is None and rows[1]["method"] == "none"
+    assert rows[3]["cleaned"] == 4 and rows[3]["summary"]
