@@ -136,6 +136,33 @@ def test_lm_score_is_the_sum_of_conditionals(docs):
     assert n.tolist() == [7, 1, 7] and total[0] == pytest.approx(want, rel=1e-4) and total[2] == pytest.approx(total[0])
 
 
+def test_lm_tells_all_words_apart(table):
+    """Of very many words some agree in the leading bits of their hash."""
+    import pyarrow as pa
+
+    fillers = [f"f{i}" for i in range(200)]
+    seldom = "common"
+    hashes = lm_scoring.Words(pa.array([f"{seldom} " + " ".join(f"u{i}" for i in range(1 << 20))])).hash >> np.uint64(46)
+    twin = f"u{int(np.flatnonzero(hashes[1:] == hashes[0])[0])}"
+    rows = [(i, " ".join([w] * 30 + [seldom])) for i, w in enumerate(fillers)]
+    # Frequent words take all classes of their own; the seldom one and its twin share theirs.
+    rows += [(1000 + i, " ".join([f"f{i}"] * 400)) for i in range(lm_scoring.FREQUENT)]
+    vocabulary, weights = lm_scoring.fit(table(rows))
+    names = lm_scoring.names_of(lm_scoring.Words(pa.array([f"{seldom} {twin} f199"])))
+    assert len(set(names.tolist())) == 3
+    share = vocabulary.share[names]
+    assert share[0] > share[1] + 4  # met 200 times, never met
+    got = lm_scoring.pseudo_likelihood(table([(1, seldom), (2, twin), (3, f"f0 {twin} f199"), (None, None)]), (vocabulary, weights)).collect()
+    got = {r["doc_id"]: r["sum_log_probability"] for r in got}
+    n, want = lm_scoring.score_texts(pa.array([seldom, twin, f"f0 {twin} f199", ""]), vocabulary, weights)
+    assert [got[1], got[2], got[3], got[None]] == pytest.approx(want.tolist()) and n.tolist() == [1, 1, 3, 0]
+
+
+def test_lm_classes_grow_with_the_words():
+    sizes = [lm_scoring.frequent_words(1 << k) for k in (10, 15, 20, 30)]
+    assert sizes[0] == sizes[1] == lm_scoring.FREQUENT and sizes[1] < sizes[2] < sizes[3]
+
+
 def cheapest(roles):
     """The least cost by trying every sequence of steps."""
     best = {chat_format.START: 0}
