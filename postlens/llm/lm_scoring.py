@@ -3,8 +3,8 @@
 Words are named by their 64-bit hash and counted exactly, in a table that has a row per
 word. The most frequent words, more of them in a corpus of more words, get a class of their
 own and the others a class by hash. The network (embeddings of the window, one hidden layer,
-softmax over classes) is trained in numpy by every task on its own rows, and the tasks'
-weights are averaged after each round. A word's conditional probability is that of its class
+softmax over classes) is trained in numpy by every task on its own rows, on every word of
+every document, and the tasks' weights are averaged after each round. A word's conditional probability is that of its class
 times its share of the class; a document's score is the sum of their logarithms. Shares are
 joined to the words of a run of rows by a shuffle.
 """
@@ -29,9 +29,8 @@ CLASSES, FREQUENT = 128, 64
 GROWS_FROM, MORE_FREQUENT = 1 << 15, 16
 SIDE = 2
 WIDTH, HIDDEN = 12, 32
+#: Each position of a text is trained on in one of the rounds, its neighbours in others.
 ROUNDS = 2
-#: One position in so many is trained on in a round, another one in the next.
-EVERY = 32
 BATCH = 256
 RATE = 0.05
 #: Weights travel in so many slices, added up in two steps.
@@ -171,14 +170,14 @@ def log_probability(w: dict[str, np.ndarray], context: np.ndarray, target: np.nd
 def train_batch(w: dict[str, np.ndarray], g2: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> None:
     """One step of AdaGrad, in place."""
     x, h, z = forward(w, context)
-    p = np.exp(z)
+    p = np.exp(z, out=z)
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(target)), target] -= 1
     p /= len(target)
     dh = (p @ w["outer"].T) * (1 - h * h)
     dx = (dh @ w["inner"].T).reshape(-1, WIDTH)
-    embed = np.zeros_like(w["embed"])
-    np.add.at(embed, context.ravel(), dx)
+    flat, classes = context.ravel(), len(w["embed"])
+    embed = np.stack([np.bincount(flat, column, classes) for column in dx.T], axis=1).astype(np.float32)
     for k, g in (("outer", h.T @ p), ("outer0", p.sum(axis=0)), ("inner", x.T @ dh), ("inner0", dh.sum(axis=0)), ("embed", embed)):
         g2[k] += g * g
         w[k] -= RATE * g / np.sqrt(g2[k])
@@ -197,6 +196,13 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, schema).groupBy("name").agg(F.sum("n").alias("n"))
 
 
+def turn(words: Words, phase: int) -> np.ndarray:
+    """Words that a round trains on, by their place in their own text, so that the order of
+    the texts does not matter."""
+    place = np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.counts())
+    return np.flatnonzero(place % ROUNDS == phase)
+
+
 def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, phase: int) -> np.ndarray:
     """Each task trains a copy of the weights on its rows; their mean by trained words."""
     schema = "slice int, step int, trained double, weights array<float>"
@@ -206,12 +212,11 @@ def train_round(docs: DataFrame, vocabulary, weights: np.ndarray, phase: int) ->
         own = weights.copy()
         w = parts(own)
         g2 = {k: np.full_like(v, 1e-6) for k, v in w.items()}
-        trained, at = 0, 0
+        trained = 0
         for run in slices(batches):
             words = Words(run.column("text"), lower=True)
             classes = vocabulary.value.classes[names_of(words)]
-            chosen = np.arange((phase * (EVERY // ROUNDS) - at) % EVERY, len(classes), EVERY)
-            at += len(classes)
+            chosen = turn(words, phase)
             around = contexts(words, classes)[chosen]
             target = classes[chosen]
             for a in range(0, len(target), BATCH):

@@ -158,6 +158,21 @@ def test_lm_tells_all_words_apart(table):
     assert [got[1], got[2], got[3], got[None]] == pytest.approx(want.tolist()) and n.tolist() == [1, 1, 3, 0]
 
 
+def test_lm_trains_on_every_word(spark, table):
+    """Also on the words of a short text, in whichever order the texts come."""
+    import pyarrow as pa
+    from dataclasses import replace
+
+    words = lm_scoring.Words(pa.array(["a", "", "a b", "a b c d e", None, "a b c"]))
+    turns = [lm_scoring.turn(words, k).tolist() for k in range(lm_scoring.ROUNDS)]
+    assert sorted(sum(turns, [])) == list(range(len(words.hash)))
+    df = table([(1, "lone pair")]).coalesce(1)
+    vocabulary, _ = lm_scoring.fit(df)
+    shared = spark.sparkContext.broadcast(replace(vocabulary, table=None))
+    for phase in range(lm_scoring.ROUNDS):
+        assert (lm_scoring.train_round(df, shared, lm_scoring.initial(), phase) != lm_scoring.initial()).any()
+
+
 def test_lm_classes_grow_with_the_words():
     sizes = [lm_scoring.frequent_words(1 << k) for k in (10, 15, 20, 30)]
     assert sizes[0] == sizes[1] == lm_scoring.FREQUENT and sizes[1] < sizes[2] < sizes[3]
