@@ -20,7 +20,7 @@ from postlens.llm.queries import importable, tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in which no language is found go: null texts and texts without a letter."""
+    """Null texts and texts without a letter go; rows without a language get the predicted one."""
     importable(spark)
     return drop_unidentified(docs)
 

@@ -176,7 +176,24 @@ def predictions(docs: DataFrame) -> DataFrame:
     return identify(read, model, ["doc_id", "held_out"]).withColumnRenamed("lang_score", "score")
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows of no language, columns unchanged."""
-    found = identify(docs)
-    return found.filter(F.col(found.columns[-2]) != UNKNOWN).select(*docs.columns)
+    """``docs`` without rows of no language. Where ``lang`` is null it becomes the predicted
+    language; other columns are unchanged. Where there is nothing to learn from, texts with
+    a letter stay as they are."""
+    model = train(docs)
+    if not model.languages:
+        return with_letters(docs)
+    found = identify(docs, model)
+    predicted = F.col(found.columns[-2])
+    return found.filter(predicted != UNKNOWN).withColumn("lang", F.coalesce("lang", predicted)).select(*docs.columns)

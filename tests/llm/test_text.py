@@ -39,6 +39,24 @@ def test_unidentified_rows_go(table, odd_rows):
     assert left.columns == table([]).columns and left.count() == len(odd_rows) - 4
 
 
+def test_texts_stay_where_no_language_can_be_learnt(table, odd_rows):
+    left = drop_unidentified(table(odd_rows, lang=None))
+    assert left.columns == table([]).columns and left.count() == len(odd_rows) - 4
+    assert drop_unidentified(table([], lang=None)).count() == 0
+
+
+def test_missing_languages_are_predicted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    left = drop_unidentified(hidden)
+    assert left.schema["lang"].dataType == docs.schema["lang"].dataType
+    got = {r["doc_id"]: r["lang"] for r in left.select("doc_id", "lang").collect()}
+    assert all(got[i] == lang[i] for i in got if i % 5)
+    filled = [i for i in got if i % 5 == 0]
+    assert len(filled) > 100 and sum(got[i] == lang[i] for i in filled) / len(filled) > 0.97
+
+
 def base_spans(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
