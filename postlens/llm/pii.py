@@ -208,7 +208,7 @@ _DISGUISED = re.compile(
     re.IGNORECASE,
 )
 _HOST_DOT = re.compile(rf"{_OPEN}(?:{_DOT}|\.){_CLOSE}|{_SPACED}{_DOT}{_SPACED}", re.IGNORECASE)
-_NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}{_DOT}{_CLOSE})(?=[A-Za-z0-9])", re.IGNORECASE)
+_NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_DOT}|\.){_CLOSE})(?=[A-Za-z0-9])", re.IGNORECASE)
 
 
 def at_and_dot(t: Rewritten) -> Rewritten:
@@ -227,6 +227,7 @@ def at_and_dot(t: Rewritten) -> Rewritten:
 #: Texts without any of these have nothing to rewrite. Tested on lower-cased text that has
 #: a space before it.
 _SIGN_HINT = re.compile(rf"[\[({{<][\x20]*(?:{_AT}|{_DOT}|@|\.)[\x20]*[\])}}>]")
+_DOT_WORDS = ("dot", "punkt", "point", "punto")
 _WORD_HINTS = (" dot ", " punkt ", " point ", " punto ", " dt ", " @", "@ ")
 _DIGIT_HINT = re.compile(rf"[^\w](?:{_DIGIT_WORD})[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])|[0-9][\x20,.-]{{1,2}}(?:{_DIGIT_WORD})[\x20,.-]")
 
@@ -235,6 +236,7 @@ def may_be_disguised(text: str) -> bool:
     low = " " + text.lower()
     return bool(
         any(w in low for w in _WORD_HINTS) or _SIGN_HINT.search(low) or _EXOTIC.search(text) or _DIGIT_HINT.search(low)
+        or any(w in low for w in _DOT_WORDS) and _DOT_WORD.search(text)
     )
 
 

@@ -105,6 +105,20 @@ def test_disguises_map_back(text, kind, span):
     assert plain == [] and [(k, text[a:b]) for k, a, b in spans] == [(kind, span)]
 
 
+@pytest.mark.parametrize("span", [
+    "192dot168dot0dot1", "192 dot168 dot0 dot1", "192DOT 168Punkt 0punto1", "192[.]168[.]0[.]1",
+    "192 (.) 168 (.) 0 (.) 1", "192[dot]168[.]0.1", "1{.}1<.>1[.]1",
+])
+def test_disguised_dots_of_addresses(span):
+    plain, spans = pii.find(f"ip {span} here")
+    assert plain == [] and [(k, f"ip {span} here"[a:b]) for k, a, b in spans] == [("ip", span)]
+
+
+def test_bracketed_dots_of_names():
+    text = "to jo[.]doe@ex[.]com now"
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [("email", "jo[.]doe@ex[.]com")]
+
+
 @pytest.mark.parametrize("text", ["look at the dot com", "Look at example.com", "at one two three", "the plus point is", "a point 3"])
 def test_plain_prose_is_left(text):
     assert pii.find(text) == ([], [])
