@@ -21,6 +21,7 @@ from postlens.llm.mixing import mix, twin
 from postlens.llm.packing import pack
 from postlens.llm.pii import personal_data
 from postlens.llm.substring_dedup import remove_repeats
+from postlens.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +108,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 ORACLES: dict[str, str] = {
     "op5_mixing": f"""
         WITH {twin("documents")}

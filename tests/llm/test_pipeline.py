@@ -25,5 +25,5 @@ def test_stage_names_and_columns(spark, docs):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 1 + len(QUERIES)))
     assert set(ORACLES) <= set(QUERIES)
