@@ -17,6 +17,7 @@ from postlens.llm.fingerprints import fingerprints
 from postlens.llm.jaccard_join import near_duplicates
 from postlens.llm.language_id import predictions
 from postlens.llm.lm_scoring import pseudo_likelihood
+from postlens.llm.minhash import minhash_duplicates
 from postlens.llm.mixing import mix, twin
 from postlens.llm.packing import pack
 from postlens.llm.pii import personal_data
@@ -113,6 +114,31 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@register
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(documents(spark, sf_dir)).drop("text_key")
+
+
+def similar_sets(width: int, least: int) -> str:
+    """CTEs ending in ``labelled`` (doc_id, n_shingles, component_id): word shingles, all
+    pairs of different sets that share one, and the reach of their links."""
+    words = f"""regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"""
+    full = f"list_transform(range(1, len(w) - {width - 2}), i -> array_to_string(w[i : i + {width - 1}], ' '))"
+    return f"""
+        docs AS (SELECT doc_id, {words} AS w FROM documents),
+        sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {width} THEN {full}
+          WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END)) AS s FROM docs),
+        names AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM sets GROUP BY s),
+        held AS (SELECT id, n, unnest(s) AS t FROM names),
+        links AS (SELECT a.id AS a, b.id AS b FROM held a JOIN held b ON a.t = b.t AND a.id <> b.id
+          GROUP BY a.id, b.id HAVING 100 * count(*) >= {least} * (min(a.n) + min(b.n) - count(*))),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        labelled AS (SELECT d.doc_id, len(d.s) AS n_shingles,
+          CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE least(n.id, coalesce(l.b, n.id)) END AS component_id
+          FROM sets d JOIN names n ON d.s = n.s LEFT JOIN least l ON l.a = n.id)"""
+
+
 ORACLES: dict[str, str] = {
     "op5_mixing": f"""
         WITH {twin("documents")}
@@ -123,4 +149,10 @@ ORACLES: dict[str, str] = {
           count(*) OVER (PARTITION BY t) AS group_size,
           doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op8_jaccard_join": f"""
+        WITH RECURSIVE {similar_sets(5, 75)}
+        SELECT doc_id, n_shingles, component_id FROM labelled""",
+    "op13_minhash": f"""
+        WITH RECURSIVE {similar_sets(3, 85)}
+        SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM labelled""",
 }

@@ -115,7 +115,7 @@ def test_repeats_without_rows(table):
     assert remove_repeats(table([])).count() == 0
 
 
-def near(rows, width=5):
+def near(rows, width=5, least=75):
     sets, root = [], list(range(len(rows)))
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -132,7 +132,7 @@ def near(rows, width=5):
         for t in s:
             held[t].append(j)
         for k, n in common.items():
-            if 100 * n >= 75 * (len(s) + len(sets[k]) - n):
+            if 100 * n >= least * (len(s) + len(sets[k]) - n):
                 root[find(j)] = find(k)
     least = {}
     for j, (i, _) in enumerate(rows):
