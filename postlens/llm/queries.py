@@ -123,7 +123,7 @@ def similar_sets(width: int, least: int) -> str:
     """CTEs ending in ``labelled`` (doc_id, n_shingles, component_id): word shingles, all
     pairs of different sets that share one, and the reach of their links."""
     words = f"""regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+')"""
-    full = f"list_transform(range(1, len(w) - {width - 2}), i -> array_to_string(w[i : i + {width - 1}], ' '))"
+    full = f"[array_to_string(w[i : i + {width - 1}], ' ') for i in range(1, len(w) - {width - 2})]"
     return f"""
         docs AS (SELECT doc_id, {words} AS w FROM documents),
         sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {width} THEN {full}
