@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from postlens.llm.common import documents
 from postlens.llm.chat_format import format_chats
+from postlens.llm.conversation_repair import repair
 from postlens.llm.exact_dedup import exact_dedup
 from postlens.llm.fingerprints import fingerprints
 from postlens.llm.jaccard_join import near_duplicates
@@ -21,6 +22,7 @@ from postlens.llm.minhash import minhash_duplicates
 from postlens.llm.mixing import mix, twin
 from postlens.llm.packing import pack
 from postlens.llm.pii import personal_data
+from postlens.llm.repair_sql import REPAIR
 from postlens.llm.substring_dedup import remove_repeats
 from postlens.llm.whitening import whiten
 
@@ -114,6 +116,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@register
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @register
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_duplicates(documents(spark, sf_dir)).drop("text_key")
@@ -152,6 +159,7 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": f"""
         WITH RECURSIVE {similar_sets(5, 75)}
         SELECT doc_id, n_shingles, component_id FROM labelled""",
+    "op12_conversation_repair": REPAIR,
     "op13_minhash": f"""
         WITH RECURSIVE {similar_sets(3, 85)}
         SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM labelled""",
