@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,7 +32,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _NOT_DIGITS = re.compile(r"[^0-9]")
 _LONG_DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9]){12}")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+_NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED_RUN = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.")
 
 Span = tuple[int, int]
@@ -45,16 +47,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _name_before(text: str, end: int, least: int) -> int:
+    """Where the run of name characters that ends at ``end`` starts, not before ``least``."""
+    start = end
+    while start > least and text[start - 1] in _NAME_CHARACTERS:
+        start -= 1
+    return start
+
+
 def _emails(text: str) -> list[Span]:
-    # A match lies within one run of address characters, so only runs with @ are read.
-    found, at, done = [], text.find("@"), 0
+    # Read from each @: every start in the run before it leads to the same @, so the
+    # leftmost one stands for all, and no character is read twice.
+    found, done = [], 0
+    at = text.find("@")
     while at >= 0:
-        start = at
-        while start > done and _EMAIL_RUN.match(text[start - 1]):
-            start -= 1
-        run = _EMAIL_RUN.match(text, start)
-        done = run.end()
-        found += [m.span() for m in EMAIL.finditer(text, start, done)]
+        start = _name_before(text, at, done)
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            found.append((start, host.end()))
+        done = host.end() if host else at + 1
         at = text.find("@", done)
     return found
 
@@ -101,14 +112,14 @@ class Rewritten:
     changed."""
 
     text: str
-    starts: list[int]
-    ends: list[int]
-    changed: list[bool]
+    starts: np.ndarray
+    ends: np.ndarray
+    changed: np.ndarray
 
     @staticmethod
     def of(text: str) -> Rewritten:
         n = len(text)
-        return Rewritten(text, list(range(n)), list(range(1, n + 1)), [False] * n)
+        return Rewritten(text, np.arange(n), np.arange(1, n + 1), np.zeros(n, bool))
 
     def replace(self, edits: list[tuple[int, int, str]]) -> Rewritten:
         """Apply (start, end, new text) edits, in order and not overlapping. Every character
@@ -116,16 +127,16 @@ class Rewritten:
         parts, starts, ends, changed, at = [], [], [], [], 0
         for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
             parts.append(self.text[at:a])
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
-            changed += self.changed[at:a]
+            starts.append(self.starts[at:a])
+            ends.append(self.ends[at:a])
+            changed.append(self.changed[at:a])
             if b > a:
                 parts.append(new)
-                starts += [self.starts[a]] * len(new)
-                ends += [self.ends[b - 1]] * len(new)
-                changed += [True] * len(new)
+                starts.append(np.full(len(new), self.starts[a]))
+                ends.append(np.full(len(new), self.ends[b - 1]))
+                changed.append(np.ones(len(new), bool))
             at = b
-        return Rewritten("".join(parts), starts, ends, changed)
+        return Rewritten("".join(parts), *map(np.concatenate, (starts, ends, changed)))
 
 
 #: Letters of other scripts that look like a Latin letter, and marks that take no room.
@@ -200,13 +211,16 @@ _SPACED = r"[\x20]+"
 _AT = r"(?:at|arroba|chez|ät)"
 _DOT = r"(?:dot|punkt|point|punto|dt)"
 _LABEL = r"[A-Za-z0-9-]+"
-#: Either sign is bracketed, or the whole address is spelled out with a dot word; plain
-#: prose with "at" alone is left.
-_DISGUISED = re.compile(
-    rf"(?P<name>[A-Za-z0-9._%+-]+)(?P<at>{_OPEN}(?:{_AT}|@){_CLOSE}|{_SPACED}{_AT}{_SPACED}(?!(?:the|a|this|that|my|your)[^A-Za-z0-9])(?={_LABEL}(?:{_SPACED}{_DOT}{_SPACED}|{_OPEN}{_DOT}{_CLOSE}))|[\x20]*@[\x20]*)"
-    rf"(?P<host>{_LABEL}(?:(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|{_SPACED}{_DOT}{_SPACED}|\.){_LABEL})+)",
-    re.IGNORECASE,
+_HOST_GAP = rf"(?:{_OPEN}(?:{_DOT}|\.){_CLOSE}|{_SPACED}{_DOT}{_SPACED}|\.)"
+#: The sign in the middle of a disguised address: bracketed, a word between spaces, or @
+#: itself, perhaps with spaces about it.
+_SIGN = re.compile(rf"[\[({{<][\x20]*(?:{_AT}|@)[\x20]*[\])}}>]|(?<=\x20)(?P<word>{_AT})(?=\x20)|@", re.IGNORECASE)
+_SPELLED_HOST = re.compile(rf"{_LABEL}(?:{_HOST_GAP}{_LABEL})+", re.IGNORECASE)
+#: After a word for @ a dot word must follow; plain prose with "at" alone is left.
+_AFTER_WORD = re.compile(
+    rf"(?!(?:the|a|this|that|my|your)[^A-Za-z0-9]){_LABEL}(?:{_SPACED}{_DOT}{_SPACED}|{_OPEN}{_DOT}{_CLOSE})", re.IGNORECASE
 )
+_BLANKS = re.compile(r"[\x20]*")
 _HOST_DOT = re.compile(rf"{_OPEN}(?:{_DOT}|\.){_CLOSE}|{_SPACED}{_DOT}{_SPACED}", re.IGNORECASE)
 _NAME_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:{_DOT}|\.){_CLOSE})(?=[A-Za-z0-9])", re.IGNORECASE)
 
@@ -216,14 +230,32 @@ def at_and_dot(t: Rewritten) -> Rewritten:
     t = t.replace(edits) if edits else t
     edits = [(m.start(), m.end(), ".") for m in _DOT_WORD.finditer(t.text)]
     t = t.replace(edits) if edits else t
-    edits = []
-    for m in _DISGUISED.finditer(t.text):
-        if m["at"] != "@":
-            edits.append((m.start("at"), m.end("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _HOST_DOT.finditer(t.text, m.start("host"), m.end("host"))]
+    edits = _address_edits(t.text)
     return t.replace(edits) if edits else t
 
 
+def _address_edits(text: str) -> list[tuple[int, int, str]]:
+    """Signs and dots of disguised addresses, read outwards from each sign."""
+    edits, done = [], 0
+    for sign in _SIGN.finditer(text):
+        if sign.start() < done:
+            continue
+        left = sign.start()
+        while left > done and text[left - 1] == " ":
+            left -= 1
+        right = _BLANKS.match(text, sign.end()).end()
+        if _name_before(text, left, done) == left or sign["word"] and not (left < sign.start() and _AFTER_WORD.match(text, right)):
+            continue
+        host = _SPELLED_HOST.match(text, right)
+        if not host:
+            continue
+        if text[left:right] != "@":
+            edits.append((left, right, "@"))
+        edits += [(d.start(), d.end(), ".") for d in _HOST_DOT.finditer(text, right, host.end())]
+        done = host.end()
+    return edits
+
+
 #: Texts without any of these have nothing to rewrite. Tested on lower-cased text that has
 #: a space before it.
 _SIGN_HINT = re.compile(rf"[\[({{<][\x20]*(?:{_AT}|{_DOT}|@|\.)[\x20]*[\])}}>]")
@@ -249,13 +281,13 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     t = Rewritten.of(text)
     for step in TRANSDUCERS:
         t = step(t)
-    if not any(t.changed):
+    if not t.changed.any():
         return []
     found = []
     for kind, a, b in plain_spans(t.text):
-        if not any(t.changed[a:b]):
+        if not t.changed[a:b].any():
             continue
-        start, end = t.starts[a], t.ends[b - 1]
+        start, end = int(t.starts[a]), int(t.ends[b - 1])
         if not any(k == kind and s < end and start < e for k, s, e in plain):
             found.append((kind, start, end))
     return found
@@ -276,7 +308,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (undisguised
     ones), base_sha256, spans (all, with those the rewriting adds), n_added.
 
-    Null text counts as empty and has no spans. Rows are handled one by one, so repeated
+    Null text counts as empty and has no spans. Time and memory are linear in a text's
+    length, whatever it is made of. Rows are handled one by one, so repeated
     rows and null doc_ids give rows of their own. Other columns are not read.
     """
     read = only(docs, "doc_id", "text").withColumn("text", text_or_empty())

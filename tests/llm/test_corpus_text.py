@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -334,3 +335,21 @@ def test_octets_with_very_many_zeros():
     assert pii.plain_spans(f"{zeros}1.2.3.4 x") == [("ip", 0, 6007)]
     assert pii.plain_spans("7" * 50_000) == []
     assert pii.plain_spans("1.2.3.4.5.6.7.8") == [("ip", 0, 7), ("ip", 8, 15)]
+
+
+@pytest.mark.parametrize("unit", ["a", "a@", " ", "a at ", "a.", "1 ", "1", "+1 ", "QUJD+/", "[ ", "one ", "a@b.", "@ "])
+def test_personal_data_in_very_long_runs_takes_linear_time(unit):
+    def seconds(n):
+        text = "’" + unit * (n // len(unit)) + "@ "
+        began = time.process_time()
+        pii.find(text)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(800_000) < 24 * max(seconds(100_000), 0.02)  # 64 times if it were quadratic
+
+
+def test_addresses_are_read_outwards_from_their_sign():
+    found = pii.find("a.b at c dot d dot org, x [at] y.net; at the dot; e  @ f.com’")[1]
+    assert found == [("email", 0, 22), ("email", 24, 36), ("email", 50, 60)]
+    assert pii.plain_spans("a@b@c.d@e.f") == [("email", 2, 7)]

@@ -65,3 +65,13 @@ def test_both_libraries_agree():
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)]
     both = TextTokenizer(tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"))
     assert [np.frombuffer(x, both.dtype).tolist() + [1] for x in both.encode(texts)] == plain_ids(texts)
+
+
+def test_very_long_runs_of_one_kind_of_character(table):
+    rows = [(i, c * 2_000_000) for i, c in enumerate((" ", "a", "1", "\n", "!"))] + [(9, "ordinary words")]
+    pieces = pack(table(rows), tokenizer_path(), tokenizer_path("byte_bpe_50k.tiktoken"), length=1 << 16, with_ids=False).collect()
+    for i, ids in zip([i for i, _ in rows], plain_ids([t for _, t in rows])):
+        mine = sorted((r for r in pieces if r["doc_id"] == i), key=lambda r: r["start"])
+        assert sum(r["length"] for r in mine) == mine[0]["doc_tokens"] == len(ids)
+        whole = np.array(ids, "<u4")
+        assert all(r["ids_crc32"] == zlib.crc32(whole[r["start"] : r["start"] + r["length"]].tobytes()) for r in mine)
