@@ -14,7 +14,7 @@ stars and not its pairs. Classes are connected components by alternating large-s
 small-star steps over tables.
 
 A link at the bound is lost if no band agrees, (1 - 0.85^5)^32 = 7e-9, or if the signature
-shows less than ``ESTIMATE``, under 3e-9 by the Chernoff bound; more similar sets are safer.
+shows less than ``ESTIMATE``, under 1e-5 by the Chernoff bound; more similar sets are safer.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ LEAST = (85, 100)
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Share of agreeing minima below which a pair is not looked at.
-ESTIMATE = 0.65
+ESTIMATE = 0.7
 #: Sets of a bucket that meet in one tile, about.
 TILE = 256
 
@@ -104,7 +104,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _entries(sets: DataFrame) -> DataFrame:
-    """band, set_key, n: each set in each of its bands."""
+    """at, band, set_key, n: each set in each of its bands, ``at`` being the band's number."""
     schema = "set_key bigint, n bigint, bands array<bigint>"
     out = arrow_schema(schema)
 
@@ -115,7 +115,7 @@ def _entries(sets: DataFrame) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(at), flat).cast(out.field("bands").type)
             yield pa.RecordBatch.from_arrays([run.column("set_key"), run.column("n"), bands], schema=out)
 
-    return sets.mapInArrow(name, schema).select(F.explode("bands").alias("band"), "set_key", "n")
+    return sets.mapInArrow(name, schema).select(F.posexplode("bands").alias("at", "band"), "set_key", "n")
 
 
 def _sizes_fit(n1: Column, n2: Column, least: tuple[int, int]) -> Column:
@@ -159,7 +159,8 @@ def _confirmed(pairs: DataFrame, full: DataFrame, least: tuple[int, int]) -> Dat
 
 def _cross_pairs(members: DataFrame, least: tuple[int, int]) -> DataFrame:
     """a, b: pairs of different classes in a tile of a bucket whose sizes and signatures
-    allow a link. ``members``: band, tile, own1, own2, set_key, n, root, signature."""
+    allow a link, in the first band in which they agree only. ``members``: at, band, low, high,
+    part, same, set_key, n, root, signature."""
     schema = "a bigint, b bigint"
     out = arrow_schema(schema)
 
@@ -168,17 +169,20 @@ def _cross_pairs(members: DataFrame, least: tuple[int, int]) -> DataFrame:
         minima = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
         left, right = [], []
         diagonal = part.min() == part.max() and table.column("same")[0].as_py()
+        at = table.column("at")[0].as_py()
         rows, others = (np.arange(len(key)),) * 2 if diagonal else (np.flatnonzero(part == 0), np.flatnonzero(part == 1))
         for i in rows:
             j = others[others > i] if diagonal else others
             j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * least[1] >= np.maximum(n[j], n[i]) * least[0])]
-            j = j[(minima[j] == minima[i]).sum(1) >= ESTIMATE * HASHES]
+            equal = minima[j] == minima[i]
+            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == at
+            j = j[first & (equal.sum(1) >= ESTIMATE * HASHES)]
             left.append(np.full(len(j), key[i]))
             right.append(key[j])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=out)
 
-    return members.groupBy("band", "low", "high").applyInArrow(pairs, schema).distinct()
+    return members.groupBy("at", "band", "low", "high").applyInArrow(pairs, schema)
 
 
 def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -224,7 +228,7 @@ def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, in
 
     root = F.coalesce("root", "set_key")
     classed = scratch.table(
-        members.select("band", "set_key", "n", "held")
+        members.select("at", "band", "set_key", "n", "held")
         .join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", root),
         "classed",
     )
@@ -237,7 +241,7 @@ def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, in
         classed.join(several, "band").withColumn("own", F.pmod(F.xxhash64("set_key"), tiles).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select(
-            "band", "set_key", "n", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            "at", "band", "set_key", "n", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
             (F.col("own") > F.col("other")).cast("int").alias("part"), (F.col("own") == F.col("other")).alias("same"),
         )
     )
