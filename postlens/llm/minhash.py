@@ -218,8 +218,9 @@ def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, in
     stars = members.filter("set_key != leader").filter(_sizes_fit(F.col("n"), F.col("n1"), least))
     stars = stars.select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
     near = scratch.table(_alike(stars, sets), "near")
-    wanted = near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct()
-    # One text a set: the shingles of other texts are not made again.
+    # Written first, so that their size is known when the join is planned: the sets of other
+    # texts need no shuffle while these keys are few.
+    wanted = scratch.table(near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct(), "wanted")
     full = scratch.table(
         _full_sets(read, width).join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.first("ids").alias("ids")), "full"
     )
@@ -249,9 +250,9 @@ def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, in
     unknown = scratch.table(crossing.join(
         near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     ), "unknown")
-    wanted = unknown.select(F.col("a").alias("set_key")).union(unknown.select("b")).distinct()
-    missing = wanted.join(full, "set_key", "left_anti")
     if not unknown.isEmpty():
+        wanted = unknown.select(F.col("a").alias("set_key")).union(unknown.select("b")).distinct()
+        missing = scratch.table(wanted.join(full, "set_key", "left_anti"), "missing")
         later = scratch.table(
             _full_sets(read, width).join(missing, "set_key", "left_semi").groupBy("set_key").agg(F.first("ids").alias("ids")),
             "more-full",
