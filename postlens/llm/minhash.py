@@ -157,6 +157,15 @@ def _confirmed(pairs: DataFrame, full: DataFrame, least: tuple[int, int]) -> Dat
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "idsa", "idsb").mapInArrow(compare, schema)
 
 
+def _fewer_edges(links: DataFrame) -> DataFrame:
+    """a, b: edges with the components of the star ``links`` (leader a, member b): a member is
+    tied to its first leader only, and that leader to the member's others, once for all
+    members that have them in common. A set has as many leaders as bands at most."""
+    heads = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("heads")).withColumn("a", F.get("heads", F.lit(0)))
+    among = heads.filter(F.size("heads") > 1).select("a", F.explode(F.slice("heads", 2, BANDS)).alias("b")).distinct()
+    return heads.select("a", "b").unionByName(among)
+
+
 def _cross_pairs(members: DataFrame, least: tuple[int, int]) -> DataFrame:
     """a, b: pairs of different classes in a tile of a bucket whose sizes and signatures
     allow a link, in the first band in which they agree only. ``members``: at, band, low, high,
@@ -225,7 +234,7 @@ def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, in
         _full_sets(read, width).join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.first("ids").alias("ids")), "full"
     )
     links = scratch.table(_confirmed(near, full, least), "links")
-    roots = scratch.table(components(links, scratch, "first"), "first-roots")
+    roots = scratch.table(components(_fewer_edges(links), scratch, "first"), "first-roots")
 
     root = F.coalesce("root", "set_key")
     classed = scratch.table(
