@@ -206,9 +206,16 @@ def search(df: DataFrame, q: str) -> DataFrame:
 
 def fresh(df: DataFrame, as_of: str | datetime, published: str = "published_at") -> DataFrame:
     """Ingest freshness: dated within 24 hours before ``as_of`` and carrying text."""
+    return df.filter(is_fresh(as_of, published) & has_text())
+
+
+def is_fresh(as_of: str | datetime, published: str = "published_at") -> Column:
     start = _time(_clock(as_of) - timedelta(hours=24))
-    text = F.regexp_replace(F.col("original_text"), f"{WS}+", "")
-    return df.filter((F.col(published) >= start) & present(text).isNotNull())
+    return F.coalesce(F.col(published) >= start, F.lit(False))
+
+
+def has_text(text: str = "original_text") -> Column:
+    return present(F.regexp_replace(F.col(text), f"{WS}+", "")).isNotNull()
 
 
 def _dashboard_time() -> Column:

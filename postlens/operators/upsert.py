@@ -28,12 +28,13 @@ def upsert_posts(
     now: Column,
     keep_clusters: bool = False,
     order: list[Column] | None = None,
+    base: Column | None = None,
 ) -> DataFrame:
     """New state of the table after writing ``batch`` on ``(platform, post_id)``.
 
     Payload columns of the batch overwrite; id, created_at and updated_at of a known key
     stay; ``cluster_id`` becomes null again unless ``keep_clusters``. New rows are numbered
-    without gaps above the present maximum, in the order of their keys.
+    without gaps above ``base``, the present maximum, in the order of their keys.
     """
     order = order or [F.col("published_at"), F.col("original_text")]
     incoming = latest_per_key(batch.drop(*KEPT), order)
@@ -49,8 +50,8 @@ def upsert_posts(
 
     def value(name: str) -> Column:
         if name == "id":
-            base = F.lit(target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar())
-            return F.coalesce(F.col("old.id"), base + F.col("_place"))
+            top = F.lit(target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()) if base is None else base
+            return F.coalesce(F.col("old.id"), top + F.col("_place"))
         if name in KEPT:
             return F.when(F.col("old").isNull(), now).otherwise(F.col(f"old.{name}"))
         if name == "cluster_id":
