@@ -4,10 +4,13 @@ Every document is the set of its word shingles; equal sets are one set from the
 signature holds the minima of ``HASHES`` universal hash functions over the set. Sets whose
 minima agree in a whole band meet in a bucket. There
 
-* every member is held against the bucket's leader: pairs whose signatures agree too little
-  are dropped, the others are confirmed on their full sets, and the links give classes;
+* every member is held against the bucket's leader, the member that meets most others in
+  all its buckets: pairs whose signatures agree too little are dropped, the others are
+  confirmed on their full sets, and the links give classes;
 * only members of different classes are then held against each other, in tiles of a bucket,
-  so that no task gets a whole bucket; again by signature first and by full set after that.
+  so that no task gets a whole bucket. What each shares with the bucket's leader, and how
+  many of its shingles no other open set holds, bounds what two members can share; pairs that
+  this bound allows are compared by signature, then by full set.
 
 Two sets in one class need no link of their own, so a large group of near copies costs its
 stars and not its pairs. Classes are connected components by alternating large-star and
@@ -139,24 +142,32 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb").mapInArrow(compare, schema)
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """a, b: the pairs linked by their full sets."""
-    schema = "a bigint, b bigint"
+def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """a, b, both, total: sizes of intersection and union of each pair, counted on full sets."""
+    schema = "a bigint, b bigint, both bigint, total bigint"
     out = arrow_schema(schema)
     side = lambda x: full.select(F.col("set_key").alias(x), F.col("ids").alias(f"ids{x}"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in batches:
-            keep = []
+            both, total = [], []
             for x, y in zip(run.column("idsa").to_pylist(), run.column("idsb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * least[1] >= (len(x) + len(y) - both) * least[0])
-            yield pa.RecordBatch.from_arrays([run.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"], schema=out)
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                total.append(len(x) + len(y) - both[-1])
+            yield pa.RecordBatch.from_arrays(
+                [run.column("a"), run.column("b"), pa.array(both, pa.int64()), pa.array(total, pa.int64())], schema=out
+            )
 
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "idsa", "idsb").mapInArrow(compare, schema)
 
 
+def _confirmed(pairs: DataFrame, full: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """a, b: the pairs linked by their full sets."""
+    linked = F.col("both") * least[1] >= F.col("total") * least[0]
+    return _overlaps(pairs, full).filter(linked).select("a", "b")
+
+
 def _fewer_edges(links: DataFrame) -> DataFrame:
     """a, b: edges with the components of the star ``links`` (leader a, member b): a member is
     tied to its first leader only, and that leader to the member's others, once for all
@@ -166,15 +177,51 @@ def _fewer_edges(links: DataFrame) -> DataFrame:
     return heads.select("a", "b").unionByName(among)
 
 
+def _own_shingles(full: DataFrame) -> DataFrame:
+    """set_key, own: how many shingles of a set no other of these sets holds."""
+    schema = "shingle bigint, set_key bigint"
+    out = arrow_schema(schema)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in batches:
+            for part in slices([run], "ids"):
+                ids = [np.frombuffer(x, np.int64) for x in part.column("ids").to_pylist()]
+                key = np.repeat(part.column("set_key").to_numpy(), [len(x) for x in ids])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(key)], schema=out)
+
+    held = full.select("set_key", "ids").mapInArrow(spread, schema).groupBy("shingle").agg(
+        F.min("set_key").alias("set_key"), F.count(F.lit(1)).alias("held")
+    )
+    return held.filter("held = 1").groupBy("set_key").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """Each member in all tiles of its bucket that its block is part of: low and high are the
+    tile's blocks, part tells which of the two it is in, same whether they are one."""
+    blocks = F.ceil(F.col("held") / TILE).cast("int")
+    return (
+        members.withColumn("own_block", F.pmod(F.xxhash64("set_key"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            "at", "band", "set_key", "n", "with_leader", "rest", "root", F.least("own_block", "other").alias("low"),
+            F.greatest("own_block", "other").alias("high"), (F.col("own_block") > F.col("other")).cast("int").alias("part"),
+            (F.col("own_block") == F.col("other")).alias("same"),
+        )
+    )
+
+
 def _cross_pairs(members: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """a, b: pairs of different classes in a tile of a bucket whose sizes and signatures
+    """a, b: pairs of different classes in a tile whose sizes, shared shingles and signatures
     allow a link, in the first band in which they agree only. ``members``: at, band, low, high,
-    part, same, set_key, n, root, signature."""
+    part, same, set_key, n, with_leader (shingles of the bucket's leader in the set), rest
+    (other shingles that some open set holds too), root, signature."""
     schema = "a bigint, b bigint"
     out = arrow_schema(schema)
 
     def pairs(table: pa.Table) -> pa.Table:
-        key, n, root, part = (table.column(c).to_numpy() for c in ("set_key", "n", "root", "part"))
+        key, n, core, rest, root, part = (
+            table.column(c).to_numpy() for c in ("set_key", "n", "with_leader", "rest", "root", "part")
+        )
         minima = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
         left, right = [], []
         diagonal = part.min() == part.max() and table.column("same")[0].as_py()
@@ -182,7 +229,9 @@ def _cross_pairs(members: DataFrame, least: tuple[int, int]) -> DataFrame:
         rows, others = (np.arange(len(key)),) * 2 if diagonal else (np.flatnonzero(part == 0), np.flatnonzero(part == 1))
         for i in rows:
             j = others[others > i] if diagonal else others
-            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * least[1] >= np.maximum(n[j], n[i]) * least[0])]
+            # Both may share what both have of the leader, and of the others' shingles.
+            most = np.minimum(core[j], core[i]) + np.minimum(rest[j], rest[i])
+            j = j[(root[j] != root[i]) & (most * sum(least) >= (n[j] + n[i]) * least[0])]
             equal = minima[j] == minima[i]
             first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == at
             j = j[first & (equal.sum(1) >= ESTIMATE * HASHES)]
@@ -216,15 +265,16 @@ def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, in
         rows.filter("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.first("signature").alias("signature")), "sets"
     )
 
-    # Buckets with one set are gone after this; the leader has the fewest shingles.
+    # Buckets with one set are gone after this.
     entries = _entries(sets)
-    heads = scratch.table(
-        entries.groupBy("band").agg(F.min(F.struct("n", "set_key")).alias("head"), F.count(F.lit(1)).alias("held"))
-        .filter("held > 1").select("band", F.col("head.set_key").alias("leader"), F.col("head.n").alias("n1"), "held"),
-        "heads",
-    )
-    members = scratch.table(entries.join(heads, "band"), "members")
-    stars = members.filter("set_key != leader").filter(_sizes_fit(F.col("n"), F.col("n1"), least))
+    buckets = entries.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    met = scratch.table(entries.join(scratch.table(buckets, "buckets"), "band"), "met")
+    company = scratch.table(met.groupBy("set_key").agg(F.sum("held").alias("company")), "company")
+    members = scratch.table(met.join(company, "set_key"), "members")
+    leader = F.max(F.struct("company", "set_key", "n")).alias("leader")
+    heads = scratch.table(members.groupBy("band").agg(leader).select("band", "leader.set_key", "leader.n"), "heads")
+    heads = heads.select("band", F.col("set_key").alias("leader"), F.col("n").alias("n1"))
+    stars = members.join(heads, "band").filter("set_key != leader").filter(_sizes_fit(F.col("n"), F.col("n1"), least))
     stars = stars.select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
     near = scratch.table(_alike(stars, sets), "near")
     # Written first, so that their size is known when the join is planned: the sets of other
@@ -246,27 +296,25 @@ def minhash_duplicates(docs: DataFrame, width: int = WIDTH, least: tuple[int, in
         classed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("band"),
         "several",
     )
-    tiles = F.ceil(F.col("held") / TILE).cast("int")
-    dealt = (
-        classed.join(several, "band").withColumn("own", F.pmod(F.xxhash64("set_key"), tiles).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select(
-            "at", "band", "set_key", "n", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-            (F.col("own") > F.col("other")).cast("int").alias("part"), (F.col("own") == F.col("other")).alias("same"),
-        )
-    )
-    crossing = _cross_pairs(dealt.join(sets.select("set_key", "signature"), "set_key"), least)
-    unknown = scratch.table(crossing.join(
-        near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
-    ), "unknown")
-    if not unknown.isEmpty():
-        wanted = unknown.select(F.col("a").alias("set_key")).union(unknown.select("b")).distinct()
+    opened = scratch.table(classed.join(several, "band"), "open")
+    if not opened.isEmpty():
+        wanted = scratch.table(opened.select("set_key").distinct(), "open-sets")
         missing = scratch.table(wanted.join(full, "set_key", "left_anti"), "missing")
-        later = scratch.table(
-            _full_sets(read, width).join(missing, "set_key", "left_semi").groupBy("set_key").agg(F.first("ids").alias("ids")),
-            "more-full",
+        later = _full_sets(read, width).join(missing, "set_key", "left_semi").groupBy("set_key").agg(F.first("ids").alias("ids"))
+        full = scratch.table(later.unionByName(full).join(wanted, "set_key", "left_semi"), "open-full")
+        own = scratch.table(_own_shingles(full), "own")
+        led = opened.join(heads.select("band", "leader"), "band")
+        stars = led.filter("set_key != leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct()
+        held = scratch.table(_overlaps(stars, full), "with-leaders").select(
+            F.col("a").alias("leader"), F.col("b").alias("set_key"), F.col("both").alias("with_leader")
         )
-        more = scratch.table(_confirmed(unknown, full.unionByName(later), least), "more-links")
+        shared = led.join(held, ["leader", "set_key"], "left").join(own, "set_key", "left").withColumn(
+            "with_leader", F.coalesce("with_leader", "n")
+        ).withColumn("rest", F.col("n") - F.col("with_leader") - F.coalesce("own", F.lit(0)))
+        crossing = _cross_pairs(_tiles(shared).join(sets.select("set_key", "signature"), "set_key"), least)
+        known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        unknown = scratch.table(crossing.join(known, ["a", "b"], "left_anti"), "unknown")
+        more = scratch.table(_confirmed(unknown, full, least), "more-links")
         both = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
         roots = scratch.table(components(both, scratch, "second"), "second-roots")
 
