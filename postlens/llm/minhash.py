@@ -42,7 +42,7 @@ HASHES = BANDS * ROWS
 #: Share of agreeing minima below which a pair is not looked at.
 ESTIMATE = 0.7
 #: Sets of a bucket that meet in one tile, about.
-TILE = 256
+TILE = 1024
 
 
 def _functions(count: int, seed: int = 20240611) -> tuple[np.ndarray, np.ndarray]:
