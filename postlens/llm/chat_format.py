@@ -214,9 +214,10 @@ def format_chats(conversations: DataFrame, segment: int = SEGMENT) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    border = chained.select(name("conv_id").alias("name"), "segment", "entry", "exit", "before", "last", "conv_cost")
-    whole = read.withColumn("name", name("conv_id")).join(border, ["name", "segment"])
+    # A null id has a flag, so that it is no other id's equal whatever the ids' type.
+    name = {"none": F.col("conv_id").isNull(), "name": F.coalesce(F.col("conv_id").cast("string"), F.lit(""))}
+    border = chained.select(*[c.alias(k) for k, c in name.items()], "segment", "entry", "exit", "before", "last", "conv_cost")
+    whole = read.withColumns(name).join(border, [*name, "segment"])
     return (
         whole.repartition(buckets, "conv_id", "segment").sortWithinPartitions(*order, F.asc("text"))
         .mapInArrow(render, schema)

@@ -62,17 +62,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, text) is in ``kept`` (doc_id, text_key), each
     such pair once. One shuffle of the documents serves the choice and the semi-join."""
-    pair = Window.partitionBy("_key_id", "_key_text").orderBy("_key_id")
-    # A null id gets a name no text form of an id has.
-    marked = docs.withColumns({
-        "_key_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
-        "_key_text": text_key(),
-    }).withColumn("_copy", F.row_number().over(pair)).filter("_copy = 1")
-    wanted = kept.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key_id"),
-        F.col("text_key").alias("_key_text"),
-    )
-    return marked.join(wanted, ["_key_id", "_key_text"], "left_semi").select(*docs.columns)
+    # A null id has a flag, so that it is no other id's equal whatever the ids' type.
+    id_parts = {"_key_none": F.col("doc_id").isNull(), "_key_id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}
+    key = [*id_parts, "_key_text"]
+    pair = Window.partitionBy(*key).orderBy("_key_id")
+    marked = docs.withColumns({**id_parts, "_key_text": text_key()}).withColumn("_copy", F.row_number().over(pair))
+    wanted = kept.select(*[c.alias(k) for k, c in id_parts.items()], F.col("text_key").alias("_key_text"))
+    return marked.filter("_copy = 1").join(wanted, key, "left_semi").select(*docs.columns)
 
 
 def text_key(column: str = "text") -> Column:

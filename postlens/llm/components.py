@@ -13,7 +13,8 @@ MOST_ROUNDS = 60
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes with an edge.
 
-    ``edges`` has columns a and b, in any order and with repeats. In a large-star step all
+    ``edges`` has columns a and b, in any order and with repeats; an edge with a null end is
+    none. An empty table gives no rows. In a large-star step all
     larger neighbours of a node are tied to its smallest one, in a small-star step all
     smaller ones; both only need the smallest neighbour, a partial aggregate, and a join.
     The number of edges never grows by more than the nodes.

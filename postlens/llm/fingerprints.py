@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     first document follows the last). Null text counts as empty; a text without words has
     the fingerprint of zeros. n_near counts, for ids divisible by 50, the documents with a
     fingerprint within ``radius`` bits, itself included; it is null for others. An empty
-    table gives no rows. Other columns are not read.
+    table gives no rows. Other columns are not read. doc_id must be a number, or text of one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")

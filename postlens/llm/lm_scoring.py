@@ -31,8 +31,11 @@ SIDE = 2
 WIDTH, HIDDEN = 12, 32
 #: Each position of a text is trained on in one of the rounds, its neighbours in others.
 ROUNDS = 2
-BATCH = 256
+BATCH = 512
 RATE = 0.05
+#: Bytes of text whose different words are counted, or joined to their shares, at once: the
+#: more, the fewer rows travel.
+COUNTED, SCORED = 4 << 20, 2 << 20
 #: Weights travel in so many slices, added up in two steps.
 SLICES, FIRST_STEP = 16, 64
 
@@ -189,7 +192,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     out = arrow_schema(schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in slices(batches):
+        for run in slices(batches, most=COUNTED):
             names, n = np.unique(names_of(Words(run.column("text"), lower=True)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n, pa.int64())], schema=out)
 
@@ -304,7 +307,7 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Vocabulary, np.ndarray] | No
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, learned = shared.value
         task = TaskContext.get().partitionId()
-        for k, run in enumerate(slices(batches)):
+        for k, run in enumerate(slices(batches, most=SCORED)):
             words = Words(run.column("text"), lower=True)
             names = names_of(words)
             seldom = ~known.owned(names)[0]

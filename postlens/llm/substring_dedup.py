@@ -214,7 +214,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
     windows are judged on the input. Null text has no words. A null doc_id is larger than any
     other. Rows with the same doc_id are one document to each other: none removes another's
     words. Texts with fewer words than a window stay whole. Other columns are not read.
-    Windows are told apart by 96 bits of two polynomial hashes.
+    Windows are told apart by 96 bits of two polynomial hashes. doc_id must be a number, or
+    text of one.
     """
     read = only(docs, "doc_id", "text").select(
         "doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("doc"),
