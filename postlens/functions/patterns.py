@@ -66,6 +66,64 @@ def alternation(patterns: list[str], flags: str = "") -> str:
     return java(f"{flags}{body}")
 
 
+def literals(pattern: str) -> list[str]:
+    """Pieces that every match of ``pattern`` holds, in order; none for a pattern with a
+    group or an alternative at its top."""
+    found, piece, i = [], "", 0
+
+    def close() -> None:
+        nonlocal piece
+        if piece:
+            found.append(piece)
+        piece = ""
+
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch in "(|)":
+            return []
+        if ch == "\\":
+            escaped = pattern[i + 1]
+            i += 2
+            if escaped == "b":
+                continue
+            if escaped.isalnum():
+                close()
+            else:
+                piece += escaped
+        elif ch == "[":
+            close()
+            i = pattern.index("]", i + 1) + 1
+        elif ch in ".^$":
+            close()
+            i += 1
+        elif ch in "*?{":
+            # what is before it may be missing; it was a class or a dot if no piece is open
+            piece = piece[:-1]
+            close()
+            i = pattern.index("}", i) + 1 if ch == "{" else i + 1
+        elif ch == "+":
+            close()
+            i += 1
+        else:
+            piece += ch
+            i += 1
+    close()
+    return found
+
+
+def matches_any(text: Column, patterns: list[str]) -> Column:
+    """Whether any of ``patterns`` matches. A pattern is tried on texts that contain all of
+    its literals only: a search for a literal costs a fraction of a pattern with a gap."""
+    open_ = [p for p in patterns if not literals(p)]
+    tests = [
+        reduce(lambda a, b: a & b, [F.contains(text, F.lit(x)) for x in dict.fromkeys(literals(p))] + [text.rlike(java(p))])
+        for p in patterns if p not in open_
+    ]
+    if open_:
+        tests.append(text.rlike(alternation(open_)))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def sub(text: Column, *rules: tuple[str, str]) -> Column:
     """Apply ``(pattern, replacement)`` rules in order."""
     return reduce(lambda c, r: F.regexp_replace(c, java(r[0]), F.lit(r[1])), rules, text)

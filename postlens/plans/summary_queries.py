@@ -188,7 +188,7 @@ def _(spark, d):
     return pairs(spark, d).select("id", S.unfaithful(F.col("summary"), F.col("source")).alias("unfaithful"))
 
 
-@query("m16_summary_guards", f"""WITH {_PAIRS}, t AS (SELECT id, source, summary, {_SPOKEN('summary')} AS w,
+_GUARDS = f"""t AS (SELECT id, source, summary, {_SPOKEN('summary')} AS w,
    {sql_squeeze('source')} AS long_text, {sql_squeeze('summary')} AS short_text, {COMPARISON('source')} AS src,
    {COMPARISON('summary')} AS s, {CONTENT('source')} AS known, {CONTENT('summary')} AS told,
    list_transform(regexp_extract_all(source, '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')) AS a,
@@ -204,11 +204,42 @@ def _(spark, d):
      / greatest(len(told), 1) > 0.34) AS unfaithful,
    len({_WORDS('short_text')}) < 7 AND len({_WORDS('long_text')}) > 18 AS too_few_words,
    {_QUESTION('long_text')} AND NOT contains(summary, '?') AS lost_question FROM g)
- SELECT *, degenerate OR copied OR verbatim OR unfaithful OR too_few_words OR lost_question AS rejected FROM f""")
+ SELECT *, degenerate OR copied OR verbatim OR unfaithful OR too_few_words OR lost_question AS rejected FROM f"""
+
+
+@query("m16_summary_guards", f"WITH {_PAIRS}, {_GUARDS}")
 def _(spark, d):
     return summarize.summary_guards(pairs(spark, d)).drop("source", "summary")
 
 
+# Summaries other than a post's own start: the next post's, every second word, and words in
+# reverse with a number the text does not have.
+_RETOLD = """pairs AS (SELECT * FROM (SELECT p.id, p.original_text AS source, CASE p.id % 4 WHEN 0 THEN p.summary
+   WHEN 1 THEN array_to_string(string_split(n.original_text, ' ')[1:15], ' ')
+   WHEN 2 THEN array_to_string([string_split(p.original_text, ' ')[i] FOR i IN range(1, least(40, len(string_split(p.original_text, ' '))) + 1, 2)], ' ')
+   ELSE array_to_string(list_reverse(string_split(p.original_text, ' ')[1:20]), ' ') || ' 12345' END AS summary
+   FROM posts p LEFT JOIN posts n ON n.id = p.id + 1) WHERE summary IS NOT NULL)"""
+
+
+def retold(spark, d):
+    table = posts(spark, d)
+    following = table.select((F.col("id") - 1).alias("id"), F.col("original_text").alias("next"))
+    words = F.split("original_text", " ")
+    summary = (
+        F.when(F.col("id") % 4 == 0, F.col("summary"))
+        .when(F.col("id") % 4 == 1, F.array_join(F.slice(F.split("next", " "), 1, 15), " "))
+        .when(F.col("id") % 4 == 2, F.array_join(F.filter(F.slice(words, 1, 40), lambda w, i: i % 2 == 0), " "))
+        .otherwise(F.concat(F.array_join(F.reverse(F.slice(words, 1, 20)), " "), F.lit(" 12345")))
+    )
+    told = table.join(following, "id", "left").select("id", F.col("original_text").alias("source"), summary.alias("summary"))
+    return told.filter("summary IS NOT NULL")
+
+
+@query("m16_guards_of_retold", f"WITH {_RETOLD}, {_GUARDS}")
+def _(spark, d):
+    return summarize.summary_guards(retold(spark, d)).drop("source", "summary")
+
+
 @query("u2_array_sets", f"""WITH {_PAIRS}, t AS (SELECT id, list_distinct({CONTENT('source')}) AS a,
    list_distinct({CONTENT('summary')}) AS b FROM pairs)
  SELECT id, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS both,

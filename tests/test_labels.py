@@ -85,3 +85,37 @@ def test_profile_url(values):
     url = lambda h: lambda c: profile_url(F.lit(h), c)
     assert values(url("a.b"), ["at://x/y/rk1", "", None]) == ["https://bsky.app/profile/a.b/post/rk1", None, None]
     assert values(url(""), ["at://x/y/rk1"]) == [None]
+
+
+def test_literals_of_patterns():
+    from postlens.functions.patterns import literals
+
+    assert literals(r"\bpassport.*appointment\b") == ["passport", "appointment"]
+    assert literals(r"\bpassport documents?\b") == ["passport document"]
+    assert literals(r"\bvisa[- ]free\b") == ["visa", "free"]
+    assert literals(r"u\.s\.a\s+x+y*z{2}") == ["u.s.a", "x"]
+    assert literals("(a|b)c") == literals("a|b") == []
+
+
+def test_category_rules_with_gaps_equal_the_plain_patterns(spark):
+    import random
+    import re
+
+    from pyspark.sql import functions as F
+
+    from postlens.functions import rules
+    from postlens.functions.labels import rule_category
+
+    rng = random.Random(4)
+    words = ["passport", "appointment", "visa", "border", "stopped", "official", "rescheduled", "passports", "my", "apply", "for",
+             "new", "visa-free", "documents", "th-ai", "สอบ", "x", "doors", "trump", "renewal", "tatkal", "Passport", "é"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+
+    def first(text):
+        for name, patterns in rules.CATEGORY_RULES.items():
+            if any(re.search(p, text.lower(), re.ASCII) for p in patterns):
+                return name
+        return None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rule_category(F.col("t"))["category"].alias("c"))
+    assert [(t, c) for t, c in df.collect() if c != first(t)] == []
