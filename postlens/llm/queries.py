@@ -47,9 +47,17 @@ WORKER_MEMORY = {
 }
 
 
+#: Rows of a batch between the engine and a Python worker, where the session has the default:
+#: whole texts travel, so a batch of the default size holds tens of megabytes on either side.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def importable(spark: SparkSession) -> None:
     """Let the Python workers of this session find the package where the driver found it, and
-    bound the memory that they keep between tasks."""
+    bound the memory that they take and keep between tasks."""
+    name, default, fewer = BATCH_ROWS
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, fewer)
     root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     for name, value in WORKER_MEMORY.items():
         environment.setdefault(name, os.environ.get(name, value))
