@@ -127,3 +127,12 @@ def test_settle_latin(values):
     assert values(refine("por"), [long]) == ["eng"]
     assert values(refine("spa"), [long, "curto"]) == ["spa", "eng"]
     assert values(refine("rus"), ["это русский текст и ещё немного"]) == ["por"]
+
+
+def test_repeated_words_are_sorted_without_a_lambda(spark):
+    from postlens.functions.quality import repeated_word_ratio
+
+    df = spark.createDataFrame([("zulu alpha zulu beta zulu alpha alpha alpha",), ("one two",)], "t string")
+    out = df.select(repeated_word_ratio(F.col("t")).alias("r"))
+    assert [r.r for r in out.collect()] == [7 / 8, 0.0]
+    assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
