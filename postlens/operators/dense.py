@@ -27,8 +27,10 @@ from postlens.session import checkpoint
 PIVOTS = 16
 #: Rows among which the pivots are chosen.
 PIVOT_SAMPLE = 512
-#: Rows of a block, about.
-BLOCK = 1024
+#: Rows of a block, about. A row travels once for every block it meets.
+BLOCK = 4096
+#: Rows placed, or multiplied with a block, at once.
+STRIP = 512
 #: Slack of the bounds, in radians, for rounding.
 _SLACK = 1e-7
 
@@ -76,8 +78,8 @@ def _placed(rows: DataFrame, pivots: np.ndarray, reach: float, radii: dict[int,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                run = batch.slice(start, BLOCK)
+            for start in range(0, batch.num_rows, STRIP):
+                run = batch.slice(start, STRIP)
                 angles = _angles(_matrix(run.column("unit")), pivots)
                 if bounds is None:
                     row, cell = np.arange(len(angles)), angles.argmin(1)
@@ -133,10 +135,14 @@ def near_pairs(left: DataFrame, right: DataFrame, least: float, block: int = BLO
         a, b = _matrix(one.column("unit").combine_chunks()), _matrix(two.column("unit").combine_chunks())
         if not len(a) or not len(b):
             return out.empty_table()
-        scores = a @ b.T
-        earlier = two.column("place").to_numpy()[None, :] < one.column("place").to_numpy()[:, None]
-        i, j = np.nonzero((scores >= least) & earlier)
-        return pa.table([one.column("id").take(pa.array(i)), two.column("id").take(pa.array(j)), pa.array(scores[i, j])], schema=out)
+        ids, others = one.column("id").combine_chunks(), two.column("id").combine_chunks()
+        place, before = one.column("place").to_numpy(), two.column("place").to_numpy()
+        found = []
+        for start in range(0, len(a), STRIP):
+            scores = a[start : start + STRIP] @ b.T
+            i, j = np.nonzero((scores >= least) & (before[None, :] < place[start : start + STRIP, None]))
+            found.append(pa.table([ids.take(pa.array(i + start)), others.take(pa.array(j)), pa.array(scores[i, j])], schema=out))
+        return pa.concat_tables(found)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
