@@ -119,3 +119,22 @@ def test_category_rules_with_gaps_equal_the_plain_patterns(spark):
 
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rule_category(F.col("t"))["category"].alias("c"))
     assert [(t, c) for t, c in df.collect() if c != first(t)] == []
+
+
+def test_a_row_is_labelled_once_for_the_whole_fit(spark):
+    from postlens.operators import categorize as C
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return {"v": "Visa", "r": "Renewal"}.get(text[0])
+
+    texts = ["visa stamp page", "renewal of it", "visa office", "renewal late", "other thing"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, original_text string")
+    model = C.train_classifier(rows.withColumn("category", told("original_text")))
+    assert seen.value == len(texts)
+    got = C.categorize(rows, C.score_with(model)).orderBy("id").collect()
+    assert model.stages[0].labels == ["Renewal", "Visa"] and len(got) == len(texts)
+    assert all(abs(sum(r.all_scores.values()) - 1) < 1e-9 for r in got if r.method == "scored")
