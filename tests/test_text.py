@@ -136,3 +136,23 @@ def test_repeated_words_are_sorted_without_a_lambda(spark):
     out = df.select(repeated_word_ratio(F.col("t")).alias("r"))
     assert [r.r for r in out.collect()] == [7 / 8, 0.0]
     assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_of_white_space_alone_are_replaced(values):
+    from postlens.functions.patterns import WS, WS_RUN
+
+    # a text without such a run is passed over: single blanks are no match
+    texts = ["a b c d", " a ", "a  b", "a \tb", "a\t b", "a b", " 　 a\n\n b ﻿"]
+    assert values(lambda t: F.regexp_count(t, F.lit(WS_RUN)), texts) == [0, 0, 1, 1, 1, 1, 3]
+    assert values(lambda t: F.regexp_replace(t, WS_RUN, " "), texts) == values(
+        lambda t: F.regexp_replace(t, f"{WS}+", " "), texts
+    )
+
+
+def test_every_repeat_passes_the_first_scan(values):
+    cases = {
+        "It rained rained all day": True, "Rained rained": True, "see you see you now": True,
+        "one two three ONE TWO THREE end": True, "we all go home we all go home": True,
+        "this is not that is this": False, "a b c a": False, "rain rains": False, "": False,
+    }
+    assert values(lambda t: t.rlike(text.MAY_REPEAT), list(cases)) == list(cases.values())
