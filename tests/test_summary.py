@@ -147,3 +147,12 @@ def test_summary_keeps_columns_of_any_name(spark):
     assert [rows[i]["full"] for i in (1, 2, 3)] == ["f", "g", "h"]
     assert rows[1]["summary"] is None and rows[1]["method"] == "none"
     assert rows[3]["cleaned"] == 4 and rows[3]["summary"]
+
+
+def test_repeated_weights_of_empty_and_null_lists(spark):
+    rows = [(1, [["a", "b"], [], ["a", "a", "a"]]), (2, []), (3, None), (4, [[]]), (5, [["a"], ["b", "b"]])]
+    df = spark.createDataFrame(rows, "id int, t array<array<string>>").repartition(1)
+    got = {r["id"]: r["w"] for r in df.select("id", summarize.repeated_weights(F.col("t")).alias("w")).collect()}
+    assert got == {1: [4, 0, 9], 2: [], 3: None, 4: [0], 5: [1, 4]}
+    # a call outside the expressions of a row: batches of it are counted at once
+    assert "ArrowEvalPython" in df.select(summarize.repeated_weights(F.col("t")))._jdf.queryExecution().executedPlan().toString()

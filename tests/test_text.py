@@ -156,3 +156,34 @@ def test_every_repeat_passes_the_first_scan(values):
         "this is not that is this": False, "a b c a": False, "rain rains": False, "": False,
     }
     assert values(lambda t: t.rlike(text.MAY_REPEAT), list(cases)) == list(cases.values())
+
+
+def test_found_agrees_with_the_spelled_out_patterns(values):
+    from postlens.functions import rules, summary
+    from postlens.functions.patterns import found, java
+
+    texts = ["my passport", "éthe deal", "xdeal", "_deal", "a deal!", "deal", "😀deal😀", "Been living in Rome for", "", None,
+             "so, hello", "that is so", "it cost 5 GB", "5gbx", "new passport rules", "one", "bone one", "NO REFUND", "\ndeal\n"]
+    for patterns in ([p for p, _ in summary.PROMOTION_CUES], summary.META, [summary.COMPLAINT], [summary.NUMBER_WORD], rules.ON_TOPIC):
+        want = [values(lambda t: t.rlike(java(p)), texts) for p in patterns]
+        assert [values(lambda t: found(t, p), texts) for p in patterns] == want
+        if len({p.startswith("(?i)") for p in patterns}) == 1:
+            every = [None if t is None else any(w[i] for w in want) for i, t in enumerate(texts)]
+            assert values(lambda t: found(t, *patterns), texts) == every
+
+
+def test_repeats_next_to_each_other_are_all_dropped(values):
+    cases = {
+        "the the the the end": "the end", "one two one two one two": "one two one two", "abc abc ABC def def": "abc def",
+        "éa éa éab éab": "éa éa éab", "a b c d a b c d": "a b c d", "said twice said twice it it it": "said twice it it it",
+    }
+    got = values(text.collapse_repeats, list(cases))
+    assert got[0] == "the end" and got[2] == "abc def" and got[4] == "a b c d"
+    assert values(text.collapse_squeezed, list(cases)) == got
+
+
+def test_white_space_of_java_is_the_same_set(values):
+    from postlens.functions.patterns import JAVA_WS_CHARS, WS_CHARS
+
+    every = [chr(c) for c in [*range(0x0, 0x3100), *range(0xFE00, 0x10000)] if not 0xD800 <= c <= 0xDFFF]
+    assert values(lambda t: t.rlike(f"[{JAVA_WS_CHARS}]"), every) == values(lambda t: t.rlike(f"[{WS_CHARS}]"), every)
