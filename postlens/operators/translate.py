@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -36,6 +37,8 @@ ALIASES = {
 }
 MAX_CHARS = 512
 CHUNK_BYTES = 450
+#: Bytes of text that a worker holds as Python objects at once, one row at least.
+WORKER_BYTES = 1 << 20
 # ---------------------------------------------------------------------------------------
 
 
@@ -288,11 +291,25 @@ def translate(planned: DataFrame, key: list[str], translator: Translator) -> Dat
     work = given.select(
         *key, "method", "error", "truncated_at", parts.alias("parts"),
         source.alias("source"), goal.alias("goal"), F.contains("method", F.lit("pivot")).alias("pivot"),
+        F.coalesce(F.octet_length("given"), F.lit(0)).alias("size"),
     )
     route = ["source", "goal", "pivot"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    most = WORKER_BYTES
+
+    def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        start, size = 0, 0
+        for i, n in enumerate(batch.column("size").to_pylist()):
+            if size and size + n > most:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given_rows in (r for batch in batches for r in runs(batch)):
+            # only what the translator reads becomes Python objects; the rest stays in Arrow
+            batch = given_rows.select(["parts", *route]).to_pandas()
             translated = pd.Series(None, index=batch.index, dtype=object)
             for (src, dst, pivot), rows in batch.groupby(route).groups.items():
                 pieces = batch.loc[rows, "parts"]
@@ -301,10 +318,13 @@ def translate(planned: DataFrame, key: list[str], translator: Translator) -> Dat
                     texts = translator(texts, a, b)
                 said = iter(texts)
                 translated.loc[rows] = [" ".join(islice(said, len(parts))) for parts in pieces]
-            yield batch.drop(columns=["parts", *route]).assign(translated=translated)
+            said = pa.array(translated.tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(given_rows.column(c) for c in kept), said], names=[*kept, "translated"])
+            pa.default_memory_pool().release_unused()
 
-    named = StructType([*work.drop("parts", *route).schema.fields, StructField("translated", StringType())])
-    done = work.mapInPandas(run, named)
+    kept = work.drop("parts", "size", *route).columns
+    named = StructType([*work.select(*kept).schema.fields, StructField("translated", StringType())])
+    done = work.mapInArrow(run, named)
     return ready.unionByName(done)
 
 

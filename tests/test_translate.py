@@ -1,6 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
 from postlens.operators import translate as T
 
 
@@ -89,3 +90,28 @@ def test_code_table_may_be_large(spark):
     many = spark.range(20_000).selectExpr("CASE WHEN id < 3 THEN 'por' WHEN id > 5 THEN 'c' || id END AS code")
     got = T.with_source(requests, many).orderBy("id").collect()
     assert [(r.source_code, r.via_many) for r in got] == [("por", True), (None, None), (None, None)]
+
+
+def test_a_worker_holds_few_texts_at_once(spark, tmp_path):
+    import glob
+
+    whole = ("x" * 99 + ". ") * 3000
+    rows = [(i, "local_model", whole, "en", "de") for i in range(12)]
+    planned = spark.createDataFrame(rows, "id int, method string, text string, source_suffix string, target_suffix string").withColumns(
+        {"error": F.lit(None).cast("string"), "truncated_at": F.lit(None).cast("int"), "cached": F.lit(None).cast("string"),
+         "remote_source": F.lit(None).cast("string"), "remote_target": F.lit(None).cast("string"), "source_code": F.col("source_suffix"),
+         "target_suffix": F.col("target_suffix")}
+    ).repartition(1)
+    folder = str(tmp_path)
+
+    def say(texts, a, b):
+        import uuid
+
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+            out.write(str(sum(map(len, texts))))
+        return texts
+
+    got = {r.id: r.translated for r in T.translate(planned, ["id"], say).collect()}
+    assert sorted(got) == list(range(12)) and all(t.replace(" ", "") == whole.replace(" ", "") for t in got.values())
+    given = [int(open(f).read()) for f in glob.glob(f"{folder}/*")]
+    assert sum(given) >= 12 * 300_000 and max(given) <= T.WORKER_BYTES
