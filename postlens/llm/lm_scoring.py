@@ -156,9 +156,12 @@ def contexts(words: Words, classes: np.ndarray) -> np.ndarray:
 
 
 def forward(w: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = w["embed"][context].reshape(len(context), -1)
-    h = np.tanh(x @ w["inner"] + w["inner0"])
-    z = h @ w["outer"] + w["outer0"]
+    x = np.take(w["embed"], context, axis=0).reshape(len(context), -1)
+    h = x @ w["inner"]
+    h += w["inner0"]
+    np.tanh(h, out=h)
+    z = h @ w["outer"]
+    z += w["outer0"]
     z -= z.max(axis=1, keepdims=True)
     return x, h, z
 
@@ -180,10 +183,14 @@ def train_batch(w: dict[str, np.ndarray], g2: dict[str, np.ndarray], context: np
     dh = (p @ w["outer"].T) * (1 - h * h)
     dx = (dh @ w["inner"].T).reshape(-1, WIDTH)
     flat, classes = context.ravel(), len(w["embed"])
-    embed = np.stack([np.bincount(flat, column, classes) for column in dx.T], axis=1).astype(np.float32)
+    columns = np.ascontiguousarray(dx.T, np.float64)
+    embed = np.stack([np.bincount(flat, column, classes) for column in columns], axis=1).astype(np.float32)
     for k, g in (("outer", h.T @ p), ("outer0", p.sum(axis=0)), ("inner", x.T @ dh), ("inner0", dh.sum(axis=0)), ("embed", embed)):
-        g2[k] += g * g
-        w[k] -= RATE * g / np.sqrt(g2[k])
+        square = g * g
+        g2[k] += square
+        g *= RATE
+        g /= np.sqrt(g2[k], out=square)
+        w[k] -= g
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
