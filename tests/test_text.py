@@ -187,3 +187,42 @@ def test_white_space_of_java_is_the_same_set(values):
 
     every = [chr(c) for c in [*range(0x0, 0x3100), *range(0xFE00, 0x10000)] if not 0xD800 <= c <= 0xDFFF]
     assert values(lambda t: t.rlike(f"[{JAVA_WS_CHARS}]"), every) == values(lambda t: t.rlike(f"[{WS_CHARS}]"), every)
+
+
+def test_language_ranking_against_plain_python(spark):
+    import random
+    from postlens.operators import language_id
+    from collections import Counter
+
+    draw, letters = random.Random(5), "abcdeéñß我们ἀ\U00010400"
+    word = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    texts = ["", None, "a", " one  two "] + [" ".join(word(draw.randint(1, 6)) for _ in range(n)) for n in (1, 9, 700, 9000) for _ in range(5)]
+    # two languages are as near as each other; one of them has no name
+    table = [(t, lang, i) for lang in ("x", "y", None) for i, t in enumerate(sorted({word(3) for _ in range(300)}))]
+    table += [("  a", lang, 0) for lang in ("x", None)] + [(" a ", lang, 7) for lang in ("x", None)]
+    profiles = spark.createDataFrame(table, "tri string, lang string, rank int")
+
+    def plain(text):
+        counts = Counter(f" {w} "[i : i + 3] for w in (text or "").lower().split() for i in range(len(w)))
+        own = sorted(counts, key=lambda t: (-counts[t], t))[:300]
+        saved = Counter()
+        for rank, tri in enumerate(own):
+            for t, lang, at in table:
+                if t == tri:
+                    saved[lang] += 300 - abs(rank - at)
+        return sorted(((len(own) * 300 - s, lang) for lang, s in saved.items()), key=lambda x: (x[0], x[1] is None, x[1] or ""))
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    got = {r.i: [tuple(x) for x in r.found] for r in rows.select("i", language_id._ranking(profiles)(F.col("t")).alias("found")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_trimmed_ends_and_script_by_hand(values):
+    from postlens.functions.language import mostly_not_latin
+    from postlens.functions.patterns import trim_ws
+
+    texts = ["", None, " ﻿a b \n", "　 ", "a \u0085", "a \u0085\n", "\x0ba\x0c", "a​ "]
+    assert values(trim_ws, texts) == ["", "", "a b", "", "a\u0085", "a \u0085", "a", "a​"]
+    assert values(mostly_not_latin, ["", None, "abc", "привет", "µµa", "ªº", "ab привет", "' '", "abc д"]) == [
+        True, None, False, True, True, False, True, True, False,
+    ]
