@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from postlens.functions.patterns import WS, java, let, present, trim_ws, utf16_length
+from postlens.functions.patterns import JAVA_WS_CHARS, WS_RUN, java, let, present, trim_ws, utf16_length
 
 # --- fixed values: targets, languages with a direct model, aliases -------------------------
 TARGETS = {
@@ -37,6 +37,7 @@ ALIASES = {
 }
 MAX_CHARS = 512
 CHUNK_BYTES = 450
+TOKEN_GAP = f"[{JAVA_WS_CHARS}]+"
 #: Bytes of text that a worker holds as Python objects at once, one row at least.
 WORKER_BYTES = 1 << 20
 # ---------------------------------------------------------------------------------------
@@ -331,16 +332,49 @@ def translate(planned: DataFrame, key: list[str], translator: Translator) -> Dat
 def translate_by_table(df: DataFrame, phrases: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """``(key, translated)``: word by word through ``phrases(source, target, word, said)``.
 
-    Expects ``source`` and ``target`` per row; unknown words stay. The engine broadcasts the
-    phrase table while its size is below the session's threshold.
+    Expects ``source`` and ``target`` per row; unknown words stay. The different words of a
+    text meet the phrases, and what is found comes back to the text in one row a key.
     """
-    known = phrases.groupBy("source", "target", "word").agg(F.min("said").alias("said"))
-    placed = df.repartition(*key)
-    spoken = placed.select(*key, "source", "target", F.posexplode(F.split(F.col(text), f"{WS}+")).alias("i", "word"))
-    said = spoken.join(known, ["source", "target", "word"], "left").select(
-        *key, F.struct("i", F.coalesce("said", "word").alias("w")).alias("p")
-    )
-    ordered = F.array_sort(F.collect_list("p"))
-    return said.groupBy(*key).agg(
-        F.array_join(F.transform(ordered, lambda p: p["w"]), " ").alias("translated")
+    known = phrases.groupBy("source", "target", "word").agg(F.min("said").alias("said")).filter("said IS NOT NULL")
+    lengths = known.agg(F.min(F.length("word")).alias("_least"), F.max(F.length("word")).alias("_most"))
+    by = ["source", "target"]
+    rows = df.select(*key, *by, F.col(text).alias("_text")).filter("_text IS NOT NULL")
+    # each word of a text is looked up once, and only one that is as long as a phrase may be
+    asked = rows.select(*key, *by, F.explode(F.array_distinct(F.split("_text", TOKEN_GAP))).alias("word")).join(
+        F.broadcast(lengths), F.length("word").between(F.col("_least"), F.col("_most"))
     )
+    hits = asked.join(known, [*by, "word"]).select(*key, F.struct(*by, "word", "said").alias("_hit"))
+    every = rows.select(*key, F.struct(*by, "_text").alias("_row")).unionByName(hits, allowMissingColumns=True)
+    # a key that comes again is one text, its words in turn
+    found = every.groupBy(*key).agg(F.collect_list("_row").alias("_rows"), F.collect_list("_hit").alias("_hits"))
+    line = lambda r: F.regexp_replace(r["_text"], WS_RUN, " ").alias("line")
+    texts = F.transform("_rows", lambda r: F.struct(*[r[c] for c in by], line(r)))
+    return found.select(*key, _spoken()(texts, F.col("_hits")).alias("translated"))
+
+
+def _spoken():
+    """Function of texts, their words parted by one blank, and the phrases found in them. It
+    refers to nothing of this package, so workers need not import it."""
+
+    def say(texts: list[dict], hits: list[dict]) -> str:
+        known: dict[tuple, dict[str, str]] = {}
+        for h in hits:
+            known.setdefault((h["source"], h["target"]), {})[h["word"]] = h["said"]
+        said = []
+        for t in texts:
+            phrases = known.get((t["source"], t["target"]), {})
+            said.append([phrases.get(w, w) for w in t["line"].split(" ")])
+        if len(said) > 1:
+            said = [[w for _, w in sorted((i, w) for words in said for i, w in enumerate(words))]]
+        return " ".join(said[0])
+
+    @F.arrow_udf("string")
+    def spoken(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        parts = 64  # rows that are Python objects at once
+        told = (
+            say(t, h) for a in range(0, len(texts), parts)
+            for t, h in zip(texts.slice(a, parts).to_pylist(), hits.slice(a, parts).to_pylist())
+        )
+        return pa.array(told, pa.string(), size=len(texts))
+
+    return spoken

@@ -115,3 +115,21 @@ def test_a_worker_holds_few_texts_at_once(spark, tmp_path):
     assert sorted(got) == list(range(12)) and all(t.replace(" ", "") == whole.replace(" ", "") for t in got.values())
     given = [int(open(f).read()) for f in glob.glob(f"{folder}/*")]
     assert sum(given) >= 12 * 300_000 and max(given) <= T.WORKER_BYTES
+
+
+def test_phrase_table_on_odd_texts(spark):
+    rows = [
+        (1, " a  b c a ", "en", "de"), (2, "", "en", "de"), (3, None, "en", "de"), (4, "a b", None, "de"),
+        (5, "a b", "fr", "de"), (None, "b\ta", "en", "de"), (6, "a x", "en", "de"), (6, "b", "fr", "de"), (7, "long", "en", "de"),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string, source string, target string")
+    said = [("en", "de", "a", "A"), ("en", "de", "a", "Z"), ("en", "de", "b", None), ("fr", "de", "b", "B"), (None, "de", "a", "N"), ("en", "de", "", "-")]
+    phrases = spark.createDataFrame(said, "source string, target string, word string, said string")
+    out = T.translate_by_table(df, phrases, ["id"])
+    assert {r.id: r.translated for r in out.collect()} == {
+        1: "- A b c A -", 2: "-", 4: "a b", 5: "a B", None: "b A", 6: "A B x", 7: "long",
+    }
+    # the words of a text are not sent one by one
+    words = spark.createDataFrame([(1, "a " * 4000, "en", "de")], df.schema)
+    plan = T.translate_by_table(words, phrases, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" in plan and "posexplode" not in plan
