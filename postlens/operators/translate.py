@@ -7,6 +7,7 @@ from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -356,25 +357,31 @@ def _spoken():
     """Function of texts, their words parted by one blank, and the phrases found in them. It
     refers to nothing of this package, so workers need not import it."""
 
-    def say(texts: list[dict], hits: list[dict]) -> str:
-        known: dict[tuple, dict[str, str]] = {}
-        for h in hits:
-            known.setdefault((h["source"], h["target"]), {})[h["word"]] = h["said"]
-        said = []
-        for t in texts:
-            phrases = known.get((t["source"], t["target"]), {})
-            said.append([phrases.get(w, w) for w in t["line"].split(" ")])
-        if len(said) > 1:
-            said = [[w for _, w in sorted((i, w) for words in said for i, w in enumerate(words))]]
-        return " ".join(said[0])
+    def columns(lists: pa.ListArray) -> tuple[list[int], list[list]]:
+        """Ends of the rows' lists, and the fields of all their members."""
+        ends = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        return ends.tolist(), [c.to_pylist() for c in lists.flatten().flatten()]
+
+    def say(texts: pa.ListArray, hits: pa.ListArray) -> Iterator[str]:
+        (text_ends, lines), (hit_ends, found) = columns(texts), columns(hits)
+        t = h = 0
+        for text_end, hit_end in zip(text_ends, hit_ends):
+            known: dict[tuple, dict[str, str]] = {}
+            for source, target, word, told in zip(*(c[h:hit_end] for c in found)):
+                known.setdefault((source, target), {})[word] = told
+            said = []
+            for source, target, line in zip(*(c[t:text_end] for c in lines)):
+                phrases = known.get((source, target), {})
+                said.append([phrases.get(w, w) for w in line.split(" ")])
+            if len(said) > 1:
+                said = [[w for _, w in sorted((i, w) for words in said for i, w in enumerate(words))]]
+            yield " ".join(said[0])
+            t, h = text_end, hit_end
 
     @F.arrow_udf("string")
     def spoken(texts: pa.Array, hits: pa.Array) -> pa.Array:
-        parts = 64  # rows that are Python objects at once
-        told = (
-            say(t, h) for a in range(0, len(texts), parts)
-            for t, h in zip(texts.slice(a, parts).to_pylist(), hits.slice(a, parts).to_pylist())
-        )
-        return pa.array(told, pa.string(), size=len(texts))
+        step = 256  # rows that are Python objects at once
+        parts = range(0, len(texts), step)
+        return pa.array([w for a in parts for w in say(texts.slice(a, step), hits.slice(a, step))], pa.string())
 
     return spoken
