@@ -138,3 +138,28 @@ def test_a_row_is_labelled_once_for_the_whole_fit(spark):
     got = C.categorize(rows, C.score_with(model)).orderBy("id").collect()
     assert model.stages[0].labels == ["Renewal", "Visa"] and len(got) == len(texts)
     assert all(abs(sum(r.all_scores.values()) - 1) < 1e-9 for r in got if r.method == "scored")
+
+
+def test_ascii_is_no_part_of_the_listed_scripts():
+    import re
+
+    from postlens.functions.language import ANY_SCRIPT_BLOCK
+
+    # a plain letter must leave the class at its first test: the range around all blocks
+    first, last = re.match(r"\[(.)-(.)&&", ANY_SCRIPT_BLOCK, re.S).groups()
+    assert "ɏ" < first < last
+
+
+def test_signed_words_with_unlisted_ones_between(spark):
+    rows = [("good", 3), ("not good", -3), ("not very good", 3), ("good not", 3), ("not, good", -3), ("", 0), (None, 0),
+            ("not bad bad", -1), ("good\tgood\ngood", 9)]
+    lexicon = {3: ["good"], -1: ["bad"]}
+    df = spark.createDataFrame(rows, "t string, want long")
+    got = [(r.t, r.got) for r in df.select("t", labels.sentiment_score(F.col("t"), lexicon).alias("got")).collect()]
+    assert got == [(t, 0 if t and "bad" in t else w) for t, w in rows]  # minus one is turned and taken once
+
+
+def test_sentiment_plan_asks_for_listed_words_first(spark):
+    text = spark.range(1).select(labels.sentiment_score(F.lit("a")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    # the fold runs over the scores found, not over every word of a text
+    assert "filter(transform(" in text

@@ -226,3 +226,47 @@ def test_trimmed_ends_and_script_by_hand(values):
     assert values(mostly_not_latin, ["", None, "abc", "привет", "µµa", "ªº", "ab привет", "' '", "abc д"]) == [
         True, None, False, True, True, False, True, True, False,
     ]
+
+
+def test_one_pass_patterns_equal_the_steps_they_replace(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from postlens.functions import labels, rules
+    from postlens.functions.patterns import found, squeeze, sub
+    from postlens.functions.summary import COMPLAINT, NUMBER_WORD
+    from postlens.functions.text import (
+        lower_squeeze, strip_language_noise, word_class_squeeze, words,
+    )
+    from postlens.operators.language_id import letters_only
+
+    rnd = random.Random(11)
+    bits = ["new", "delhi", "New", "us", "U.S.", "u.s.a", "paris", "Paris", "é", "ß", "İ", "Σ", "á", "हिन्दी", "₹", "²",
+            " ", "﻿", "\t", "\n", " ", "  ", "_", "'", "’", "-", "😀", "9", "two", "weeks", "stuck", "so", "hi", "x",
+            "the the", "big big", "Big big", "a b a b", "one two x one two", "\u0085", "`", "{", "~", "@a", "http://a.b/c"]
+    rows = [("".join(rnd.choice(bits) + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(0, 14))),) for _ in range(1500)]
+    df = spark.createDataFrame([*rows, (None,)], "t string")
+    t, low = F.col("t"), F.lower(F.coalesce(F.col("t"), F.lit("")))
+    sq = squeeze(t)
+    keywords = sorted((k for ks in rules.REGION_KEYWORDS.values() for k in ks), key=len, reverse=True)
+    body = "|".join(k.replace(".", r"\.") for k in keywords)
+    places = F.array_distinct(F.regexp_extract_all(
+        lower_squeeze(t), F.lit(rf"(?:^|[^\p{{L}}\p{{N}}])({body})(?![\p{{L}}\p{{N}}])"), F.lit(1)))
+    first_place = F.coalesce(*[
+        F.when(F.arrays_overlap(places, F.array(*[F.lit(k) for k in ks])), F.lit(n)) for n, ks in rules.REGION_KEYWORDS.items()])
+    plain = sub(sub(t, (r"https?://\S+", " ")), (r"[#@][\p{L}\p{N}_-]+", " "))
+    before = lambda p: sq.rlike("(?i)(?:^|\\W)(?:" + p.removeprefix(r"(?i)\b").replace(r"\b", r"(?!\w)") + ")")
+    pairs = {
+        "word class": (word_class_squeeze(t), squeeze(sub(low, (r"[^\p{L}\p{N}\s]", " ")))),
+        "noise": (strip_language_noise(t), squeeze(sub(plain, (r"[^\p{L}\p{M}\s'’]", " ")))),
+        "letters": (letters_only(t), F.regexp_replace(low, r"[^\p{L}\p{M}]+", " ")),
+        "region": (labels.region(t), F.when(F.size(places) > 0, first_place)),
+        "sentiment tokens": (labels.sentiment_tokens(t), words(squeeze(F.regexp_replace(
+            low, r"""[\n.,/#!?$%^&*;:{}=_`"~()]""", " ")))),
+        "number": (found(sq, NUMBER_WORD), before(NUMBER_WORD)), "complaint": (found(sq, COMPLAINT), before(COMPLAINT)),
+    }
+    wrong = df.select("t", *[F.struct(a.alias("new"), b.alias("old")).alias(n) for n, (a, b) in pairs.items()])
+    for name in pairs:
+        bad = wrong.filter(~F.col(f"`{name}`.new").eqNullSafe(F.col(f"`{name}`.old"))).select("t", f"`{name}`").limit(3).collect()
+        assert not bad, (name, bad)
